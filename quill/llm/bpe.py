@@ -65,7 +65,8 @@ class Automaton:
         self.n = n
         self._compile(vocab, model["merges"])
         ordinary = set(vocab.values())
-        self.token = {self.labels[k]: k for k in ordinary if self.born[k] >= 0 or len(self.labels[k]) == 1}
+        self.alone: dict[int, bool] = {}
+        self.token = {self.labels[k]: k for k in sorted(ordinary, key=self.born.__getitem__) if (self.born[k] >= 0 or len(self.labels[k]) == 1) and self._made(k)}
         self.steps: dict[int, int] = {}
         self.ends: list[int] = [-1]
         for label, k in self.token.items():
@@ -76,7 +77,6 @@ class Automaton:
                     self.ends.append(-1)
             self.ends[at] = k
         self.arcs: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         import regex
 
@@ -124,7 +124,7 @@ class Automaton:
         """The ids of one word: arcs out of each state along the word's bytes, longer labels first, back from where none leads on."""
         n = len(word)
         steps, ends, arcs, labels, width = self.steps, self.ends, self.arcs, self.labels, self.n
-        if (t := self.token.get(word)) is not None and self._whole(t):
+        if (t := self.token.get(word)) is not None:
             return [t]
         path: list[int] = []
         dead: set[int] = set()
@@ -138,11 +138,9 @@ class Automaton:
             for t, k in reversed(found):
                 if k in dead:
                     continue
-                if path:
-                    if (ok := arcs.get(path[-1] * width + t)) is None:
-                        ok = self.arc(path[-1], t)
-                else:
-                    ok = self._whole(t)
+                ok = True
+                if path and (ok := arcs.get(path[-1] * width + t)) is None:
+                    ok = self.arc(path[-1], t)
                 if ok:
                     path.append(t)
                     pos = k
@@ -154,12 +152,12 @@ class Automaton:
                 pos -= len(labels[path.pop()])
         return path
 
-    def _whole(self, t: int) -> bool:
-        """Whether a token is the encoding of its own label, so that it ever stands alone: its parts' arc was there to merge."""
+    def _made(self, t: int) -> bool:
+        """Whether a token's gadget added any arc: its parts are made, and the state behind the left had the right's arc by then."""
         known = self.alone.get(t)
         if known is None:
             k = self.born[t]
-            known = k < 0 or (self._whole(self.left[t]) and self._whole(self.right[t]) and self._resolve(self.left[t], self.right[t], k - 1))
+            known = k < 0 or (self._made(self.left[t]) and self._made(self.right[t]) and self._resolve(self.left[t], self.right[t], k - 1))
             self.alone[t] = known
         return known
 

@@ -1,8 +1,55 @@
-"""The pipeline's stages."""
+"""The pipeline: language ID, toxicity, line dedup, SimHash near-dedup, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quill.llm import common, langid, lines, packing, simhash, toxicity
+
+#: Documents whose language is less sure than this go.
+SURE = 0.5
+#: Near-duplicates: five-word shingles at a likeness of 0.8, which 504 bits of SimHash show as at most so many differing bits.
+WORDS, LANES, BANDS, WIDTH, RADIUS = 5, 8, 36, 14, 78
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter, or whose language stays unsure, go."""
+    found = langid.identify(docs, langid.train(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= SURE)).select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic."""
+    found = toxicity.rate(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+    return found.filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated runs of lines; a text that is all such copies becomes empty."""
+    return lines.remove_repeats(docs).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id; rows without a doc_id stay, repeated rows become one."""
+    found = simhash.near_classes(docs, WORDS, RADIUS, LANES, BANDS, WIDTH)
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.pack(docs, f"{common.TOKENIZERS}/word_bpe_49k.json", 2)
+
+
+STAGES = [("language ID", language), ("toxicity", clean), ("line dedup", without_repeated_lines), ("SimHash near-dedup", one_of_each), ("packing", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over documents; each one's result is a written table in the shared folder."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
