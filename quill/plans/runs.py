@@ -112,23 +112,23 @@ def recovery_decision(t: Tables) -> DataFrame:
 
 
 RULES = {
-    "too_few_candidates": (F.col("candidates") < 2, "candidates < 2"),
-    "text_missing": (F.col("with_text") < F.col("candidates"), "with_text < candidates"),
-    "text_starved": ((F.col("with_text") == 0) & (F.col("candidates") > 0), "with_text = 0 AND candidates > 0"),
-    "many_errors": (F.col("errors") * 4 > F.col("n"), "errors * 4 > n"),
+    "too_few_candidates": "candidates < 2",
+    "text_missing": "with_text < candidates",
+    "text_starved": "with_text = 0 AND candidates > 0",
+    "many_errors": "errors * 4 > n",
 }
 
 
-@query("run_violations", _RUNS + " " + " UNION ALL ".join(f"SELECT run, '{code}' AS code FROM runs WHERE {sql}" for code, (_, sql) in RULES.items()))
+@query("run_violations", _RUNS + " " + " UNION ALL ".join(f"SELECT run, '{code}' AS code FROM runs WHERE {sql}" for code, sql in RULES.items()))
 def run_violations(t: Tables) -> DataFrame:
     """A row for each rule that a run breaks: all rules in one pass over the runs."""
-    codes = F.array_compact(F.array(*(F.when(rule, code) for code, (rule, _) in RULES.items())))
+    codes = F.array_compact(F.array(*(F.when(F.expr(rule), code) for code, rule in RULES.items())))
     return t.runs().select("run", F.explode(codes).alias("code"))
 
 
-@query("clean_runs", _RUNS + " SELECT count(*) FILTER (WHERE NOT (" + " OR ".join(f"({sql})" for _, sql in RULES.values()) + ")) AS clean, count(*) AS runs FROM runs")
+@query("clean_runs", _RUNS + " SELECT count(*) FILTER (WHERE NOT (" + " OR ".join(f"({sql})" for sql in RULES.values()) + ")) AS clean, count(*) AS runs FROM runs")
 def clean_runs(t: Tables) -> DataFrame:
-    broken = reduce(lambda a, b: a | b, (rule for rule, _ in RULES.values()))
+    broken = reduce(lambda a, b: a | b, map(F.expr, RULES.values()))
     return t.runs().agg(F.count_if(~broken).alias("clean"), F.count("*").alias("runs"))
 
 
