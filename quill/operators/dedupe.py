@@ -46,11 +46,11 @@ def greedy(items: DataFrame) -> DataFrame:
             else:
                 reason = next(k for k in keys if where.get(k) == at).split(":", 1)[0]
                 best = entries[at]["best"]
-                if (r.score, best.url) > (best.score, r.url) if r.score == best.score else r.score > best.score:
+                if r.score > best.score or (r.score == best.score and r.url < best.url):
                     entries[at]["best"] = r
             entries[at]["items"].append((r.item, reason))
             for k in keys:
-                where.setdefault(k, at)
+                where[k] = min(at, where.get(k, at))
         for e in entries:
             for item, reason in e["items"]:
                 out.setdefault(item, [item, e["best"].item, "canonical" if item == e["best"].item and len(e["items"]) == 1 else reason])

@@ -293,10 +293,10 @@ def user_detail_sessions(t: Tables) -> DataFrame:
     return page(sessions(own).join(mix, "session_id"), [F.desc("last"), F.asc("session_id")], 25)
 
 
-@query("timeline_page", _FULL + f" SELECT event_id, epoch_us(occurred_at) AS at, event_type, session_id, title, module_id FROM enriched WHERE {_IN} AND user_id = 7 ORDER BY at DESC, event_id DESC LIMIT 100 OFFSET 10")
+@query("timeline_page", _FULL + f" SELECT event_id, epoch_us(occurred_at) AS moment, event_type, session_id, title, module_id FROM enriched WHERE {_IN} AND user_id = 7 ORDER BY moment DESC, event_id DESC LIMIT 100 OFFSET 10")
 def timeline_page(t: Tables) -> DataFrame:
-    out = narrowed(enriched(t), Filters(user_id=7).normal()).select("event_id", F.unix_micros("occurred_at").alias("at"), "event_type", "session_id", "title", "module_id")
-    return page(out, [F.desc("at"), F.desc("event_id")], 100, 10)
+    out = narrowed(enriched(t), Filters(user_id=7).normal()).select("event_id", F.unix_micros("occurred_at").alias("moment"), "event_type", "session_id", "title", "module_id")
+    return page(out, [F.desc("moment"), F.desc("event_id")], 100, 10)
 
 
 @query(

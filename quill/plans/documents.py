@@ -202,7 +202,7 @@ def clauses(t: Tables) -> DataFrame:
     "SELECT doc_id, count(*) AS sentences, max(length(s)) AS longest FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents) GROUP BY doc_id",
 )
 def sentence_counts(t: Tables) -> DataFrame:
-    s = F.filter(F.transform(F.split("text", "[.!?\n]+"), F.trim), lambda x: x != "")
+    s = F.filter(F.transform(F.split("text", "[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     return t.raw("documents").select("doc_id", s.alias("s")).filter(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
@@ -212,8 +212,8 @@ def sentence_counts(t: Tables) -> DataFrame:
     "similar_policies",
     """WITH w AS (SELECT doc_id, lang, source, word, min(pos) AS pos FROM (SELECT doc_id, lang, source, unnest(string_split(lower(text), ' ')) AS word, generate_subscripts(string_split(lower(text), ' '), 1) AS pos FROM documents WHERE doc_id % 10 < 3)
       WHERE length(word) BETWEEN 4 AND 6 GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM w) WHERE r <= 20),
-    n AS (SELECT doc_id, lang, source, count(*) AS size FROM k GROUP BY ALL), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM k a JOIN k b ON a.word = b.word AND a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
-    s AS (SELECT a, b, CAST(floor(1000 * (80.0 * both / (x.size + y.size - both) + CASE WHEN x.lang = y.lang THEN 6 ELSE 0 END + CASE WHEN x.source = y.source THEN 4 ELSE 0 END) + 0.0001) AS BIGINT) AS score FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)
+    n AS (SELECT doc_id, lang, source, count(*) AS size FROM k GROUP BY ALL), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.word = b.word AND a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
+    s AS (SELECT a, b, CAST(floor(1000 * (80.0 * shared / (x.size + y.size - shared) + CASE WHEN x.lang = y.lang THEN 6 ELSE 0 END + CASE WHEN x.source = y.source THEN 4 ELSE 0 END) + 0.0001) AS BIGINT) AS score FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)
     SELECT a, b, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s WHERE score >= 18000) WHERE rank <= 5""",
 )
 def similar_policies(t: Tables) -> DataFrame:

@@ -156,7 +156,7 @@ def jobs_per_policy_top(t: Tables) -> DataFrame:
 
 @query(
     "upsert_backfill",
-    _Q + """, o AS (SELECT policy_no, n_chars AS size, complete, title FROM queue WHERE policy_no % 3 <> 0), n AS (SELECT policy_no, n_chars * (1 + policy_no % 2) AS size, false AS complete, upper(title) AS title FROM queue WHERE policy_no % 2 = 0 OR policy_no % 5 = 0)
+    _Q + """, o AS (SELECT policy_no, n_chars AS size, complete, title FROM queue WHERE policy_no % 3 <> 0), n AS (SELECT policy_no, n_chars * (1 + policy_no % 2) AS size, false AS complete, 'new ' || title AS title FROM queue WHERE policy_no % 2 = 0 OR policy_no % 5 = 0)
   SELECT coalesce(o.policy_no, n.policy_no) AS policy_no,
     CASE WHEN o.policy_no IS NULL THEN n.size WHEN n.policy_no IS NULL THEN o.size WHEN n.size >= 280 AND n.size >= greatest(o.size + 300, (o.size * 5 + 3) // 4) AND NOT o.complete THEN n.size ELSE o.size END AS size,
     coalesce(o.complete, n.complete) AS complete, coalesce(o.title, n.title) AS title,
@@ -167,7 +167,7 @@ def upsert_backfill(t: Tables) -> DataFrame:
     """Insert what is new; a longer text replaces a shorter one if it's much longer and the old row isn't complete; other values stay unless missing."""
     q = t.queue()
     old = q.filter("policy_no % 3 <> 0").select("policy_no", F.col("n_chars").alias("size"), "complete", "title")
-    new = q.filter("policy_no % 2 = 0 or policy_no % 5 = 0").select("policy_no", (F.col("n_chars") * (1 + F.col("policy_no") % 2)).alias("size"), F.lit(False).alias("complete"), F.upper("title").alias("title"))
+    new = q.filter("policy_no % 2 = 0 or policy_no % 5 = 0").select("policy_no", (F.col("n_chars") * (1 + F.col("policy_no") % 2)).alias("size"), F.lit(False).alias("complete"), F.concat(F.lit("new "), "title").alias("title"))
     o, n = F.col("o.size"), F.col("n.size")
     better = (n >= 280) & (n >= F.greatest(o + 300, F.expr("(o.size * 5 + 3) div 4"))) & ~F.col("o.complete")
     return upsert(old, new, "policy_no", {"size": F.when(better, n).otherwise(o), "title": F.coalesce("o.title", "n.title")})

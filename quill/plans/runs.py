@@ -17,14 +17,14 @@ _RUNS, _HEALTH = with_sql("runs"), with_sql("health")
 NOW = 1706659200
 
 
-@query("run_gaps", _RUNS + " SELECT run, at, at - lag(at) OVER (ORDER BY at) AS gap FROM runs")
+@query("run_gaps", _RUNS + " SELECT run, seen_at, seen_at - lag(seen_at) OVER (ORDER BY seen_at) AS gap FROM runs")
 def run_gaps(t: Tables) -> DataFrame:
-    return gaps(t.runs(), "at").select("run", "at", "gap")
+    return gaps(t.runs(), "seen_at").select("run", "seen_at", "gap")
 
 
-@query("run_gap_summary", _RUNS + " SELECT count(*) AS runs, max(gap) AS longest, count(*) FILTER (WHERE gap > 3900) AS late, count(*) FILTER (WHERE gap < 900) AS close FROM (SELECT at - lag(at) OVER (ORDER BY at) AS gap FROM runs)")
+@query("run_gap_summary", _RUNS + " SELECT count(*) AS runs, max(gap) AS longest, count(*) FILTER (WHERE gap > 3900) AS late, count(*) FILTER (WHERE gap < 900) AS close FROM (SELECT seen_at - lag(seen_at) OVER (ORDER BY seen_at) AS gap FROM runs)")
 def run_gap_summary(t: Tables) -> DataFrame:
-    return gaps(t.runs(), "at").agg(F.count("*").alias("runs"), F.max("gap").alias("longest"), F.count_if(F.col("gap") > 3900).alias("late"), F.count_if(F.col("gap") < 900).alias("close"))
+    return gaps(t.runs(), "seen_at").agg(F.count("*").alias("runs"), F.max("gap").alias("longest"), F.count_if(F.col("gap") > 3900).alias("late"), F.count_if(F.col("gap") < 900).alias("close"))
 
 
 @query(

@@ -50,8 +50,8 @@ m AS (
   SELECT *, {_FIRST('code')} AS e, {_FIRST('label')} AS why, {_MATCH('corpus', R.STRONG)} AS s, {_MATCH("t || chr(10) || nr", R.STRONG)} AS ts, {_MATCH('corpus', R.DIRECTIONS)} AS d,
     regexp_matches(head, '{R.RETROSPECTIVE}') AS retro, regexp_matches(t, '{R.COMPETITION}') AS fwdt, regexp_matches(head || chr(10) || substr(x, 1, {R.FORWARD_LIMIT}), '{R.COMPETITION}') AS fwd,
     regexp_matches(t, '{R.STANDARD_PLAN}') AS std, regexp_matches(r || chr(10) || x, '{R.SUBJECTS}') AS subj FROM h
-), w AS (SELECT *, regexp_matches(t, '{R.BROAD_PLAN}') AND len(ts) = 0 AS broad, retro AND NOT fwdt AS only, {_WEIGHT('s')} AS sw, {_WEIGHT('ts')} AS tw FROM m),
-p AS (SELECT *, CASE WHEN only THEN 'L2' WHEN len(ts) > 0 OR sw >= 5 THEN 'L3' WHEN {_HAS('d', 'plan_measure')} OR ({_HAS('d', 'industrial_action')} AND {_HAS('d', 'action_verb', 'formal_document')}) THEN 'L2' ELSE 'L1' END AS dep FROM w),
+), w AS (SELECT *, regexp_matches(t, '{R.BROAD_PLAN}') AND len(ts) = 0 AS broad, retro AND NOT fwdt AS past, {_WEIGHT('s')} AS sw, {_WEIGHT('ts')} AS tw FROM m),
+p AS (SELECT *, CASE WHEN past THEN 'L2' WHEN len(ts) > 0 OR sw >= 5 THEN 'L3' WHEN {_HAS('d', 'plan_measure')} OR ({_HAS('d', 'industrial_action')} AND {_HAS('d', 'action_verb', 'formal_document')}) THEN 'L2' ELSE 'L1' END AS dep FROM w),
 g AS (
   SELECT *, greatest(0, least(100, CASE dep WHEN 'L3' THEN 48 WHEN 'L2' THEN 32 ELSE 14 END + least(sw * 3, 24) + least(tw * 5, 25) + CASE WHEN fwd THEN 8 ELSE 0 END + CASE WHEN std THEN 4 ELSE 0 END - CASE WHEN broad THEN 8 ELSE 0 END)) AS tool0,
     CASE WHEN retro THEN 24 WHEN broad THEN 58 ELSE greatest(0, least(100, CASE WHEN {_HAS('s', *R.MARKET)} THEN 78 WHEN fwd THEN 72 WHEN std THEN 52 WHEN dep = 'L3' THEN 62 WHEN dep = 'L2' THEN 54 ELSE 25 END + least(len(d) * 3, 12))) END AS impact0,
@@ -59,7 +59,7 @@ g AS (
       WHEN std AND regexp_matches(t || chr(10) || r || chr(10) || x, '{R.DRAFTED}') THEN 88 WHEN fwd THEN 58 WHEN regexp_matches(t, '{R.PRICED}') THEN 55 ELSE 38 END AS sure0 FROM p
 ), o AS (
   SELECT doc_id, title, published, source_priority, length(x) AS len_x, e IS NOT NULL AS excluded, CASE WHEN e IS NOT NULL THEN 'L0' ELSE dep END AS depth,
-    CASE WHEN e IS NOT NULL THEN 0 ELSE CAST(greatest(0, least(100, floor((tool0 * 45 + impact0 * 35 + sure0 * 20 + 100 * (CASE WHEN nr <> '' THEN 2 ELSE 0 END + CASE WHEN length(x) >= {R.SUBSTANTIVE} THEN 2 ELSE 0 END - CASE WHEN only THEN 8 ELSE 0 END) + 50) / 100))) AS INTEGER) END AS priority,
+    CASE WHEN e IS NOT NULL THEN 0 ELSE CAST(greatest(0, least(100, floor((tool0 * 45 + impact0 * 35 + sure0 * 20 + 100 * (CASE WHEN nr <> '' THEN 2 ELSE 0 END + CASE WHEN length(x) >= {R.SUBSTANTIVE} THEN 2 ELSE 0 END - CASE WHEN past THEN 8 ELSE 0 END) + 50) / 100))) AS INTEGER) END AS priority,
     CASE WHEN e IS NULL THEN CAST(tool0 AS INTEGER) END AS tool, CASE WHEN e IS NULL THEN CAST(impact0 AS INTEGER) END AS impact, CASE WHEN e IS NULL THEN CAST(sure0 AS INTEGER) END AS verifiable,
     CASE WHEN e IS NOT NULL THEN why WHEN len(s) + len(d) = 0 THEN '{R.NO_SIGNAL}' ELSE array_to_string(list_concat(list_transform(s, lambda m: m.label), list_transform(d, lambda m: m.label))[1:6], ';') END AS reasons,
     CASE WHEN e IS NOT NULL THEN e ELSE array_to_string(list_concat(list_transform(s, lambda m: m.code), list_transform(d, lambda m: m.code))[1:10], ';') END AS signals FROM g

@@ -85,13 +85,13 @@ class Tables:
             self.raw("events")
             .groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"))
             .agg(
-                F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at"),
+                F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("seen_at"),
                 F.count("*").alias("n"),
                 F.count_if(F.col("event_type") == "error").alias("errors"),
                 F.count_if(F.col("event_type") == "purchase").alias("candidates"),
                 F.count_if(F.col("event_type") == "signup").alias("with_text"),
             )
-            .select(F.unix_seconds("hour").alias("run"), "at", "n", "errors", "candidates", "with_text")
+            .select(F.unix_seconds("hour").alias("run"), "seen_at", "n", "errors", "candidates", "with_text")
         )
 
     def health(self) -> DataFrame:
@@ -145,7 +145,7 @@ SQL = {
         FROM orders)""",
     "runs": """
       runs AS (
-        SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS run, CAST(max(floor(epoch(ts))) AS BIGINT) AS at, count(*) AS n,
+        SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS run, CAST(max(floor(epoch(ts))) AS BIGINT) AS seen_at, count(*) AS n,
           count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'purchase') AS candidates,
           count(*) FILTER (WHERE event_type = 'signup') AS with_text
         FROM events GROUP BY date_trunc('hour', ts))""",
