@@ -108,7 +108,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans, _ = common.materialise(later.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("__spans")), "line-spans")
     common.discard(spark, at, first_at)
     spans = spans.select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__tie"), "__spans")
-    joined = rest.withColumn("__key", key).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__tie")), "left")
+    # the same join at every size, so that what it moves grows with the texts
+    joined = rest.withColumn("__key", key).join(spans.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__tie")), "left")
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["stop"])))
     out = joined.withColumn("__lines", F.when(F.col("__spans").isNotNull(), kept))
