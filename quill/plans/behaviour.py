@@ -257,9 +257,9 @@ def user_list_total(t: Tables) -> DataFrame:
     return narrowed(enriched(t), _SEARCH).agg(F.countDistinct("user_id").alias("total"))
 
 
-@query("policy_filtered_events", _FULL + f" SELECT event_id, policy_ref, policy_id, external_id FROM enriched WHERE {_IN} AND (policy_ref = '25' OR external_id = '25' OR policy_id = '25') AND module_id IN ('m1', 'm2', 'm4')")
+@query("policy_filtered_events", _FULL + f" SELECT event_id, policy_ref, policy_id, external_id FROM enriched WHERE {_IN} AND (policy_ref = '26' OR external_id = '26' OR policy_id = '26') AND module_id IN ('m1', 'm5')")
 def policy_filtered_events(t: Tables) -> DataFrame:
-    f = Filters(policy_ref=" 25 ", module_ids=["m1", "m2", "", "m4"]).normal()
+    f = Filters(policy_ref=" 26 ", module_ids=["m1", "", "m5"]).normal()
     return narrowed(enriched(t), f).select("event_id", "policy_ref", "policy_id", "external_id")
 
 
