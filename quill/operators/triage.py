@@ -18,6 +18,16 @@ def matched(text: Column, rules: list[R.Rule]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(r.pattern), F.struct(F.lit(r.code).alias("code"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"))) for r in rules)))
 
 
+def condensed(c: Column) -> Column:
+    """Long runs without a character that any rule needs, brought down to their ends and a line break.
+
+    Every rule has ideographs, and none reaches over more than 24 other characters, or over a line break, so what matches is
+    the same, and a text in another script is looked through once instead of once a rule.
+    """
+    plain = "[\\x00-\\x7f\\u00a0-\\u024f]"
+    return F.regexp_replace(c, f"({plain}{{24}}){plain}{{32,}}({plain}{{24}})", "$1\n$2")
+
+
 def _weight(c: str) -> Column:
     return F.aggregate(c, F.lit(0), lambda s, r: s + r["weight"])
 
@@ -29,6 +39,7 @@ def classify(df: DataFrame) -> DataFrame:
     as the rules demand.
     """
     d = df.withColumns({"__t": squeezed("title"), "__n": squeezed("number"), "__x": F.substring(squeezed("text"), 1, R.TEXT_LIMIT), "__r": F.substring(squeezed("raw"), 1, R.RAW_LIMIT)})
+    d = d.withColumns({"__long": F.length("__x") >= R.SUBSTANTIVE, "__near": condensed(F.substring("__x", 1, R.FORWARD_LIMIT)), "__x": condensed(F.col("__x")), "__r": condensed(F.col("__r"))})
     t, n, x, r = (F.col(c) for c in ("__t", "__n", "__x", "__r"))
     nl = F.lit("\n")
     head = F.concat(t, nl, r)
@@ -37,7 +48,7 @@ def classify(df: DataFrame) -> DataFrame:
     why = F.coalesce(*(F.when(head.rlike(e.pattern), e.label) for e in R.EXCLUSIONS))
     d = d.withColumns({
         "__e": code, "__why": why, "__s": matched(corpus, R.STRONG), "__ts": matched(F.concat(t, nl, n), R.STRONG), "__d": matched(corpus, R.DIRECTIONS),
-        "__retro": head.rlike(R.RETROSPECTIVE), "__fwdt": t.rlike(R.COMPETITION), "__fwd": F.concat(head, nl, F.substring(x, 1, R.FORWARD_LIMIT)).rlike(R.COMPETITION),
+        "__retro": head.rlike(R.RETROSPECTIVE), "__fwdt": t.rlike(R.COMPETITION), "__fwd": F.concat(head, nl, F.col("__near")).rlike(R.COMPETITION),
         "__std": t.rlike(R.STANDARD_PLAN), "__subj": F.concat(r, nl, x).rlike(R.SUBJECTS),
     })
     has = lambda c, *codes: F.exists(c, lambda m: m["code"].isin(*codes))
@@ -61,7 +72,7 @@ def classify(df: DataFrame) -> DataFrame:
         .otherwise(38)
     )
     d = d.withColumns({"__tool": tool, "__impact": impact, "__sure": sure})
-    context = F.when(n != "", 2).otherwise(0) + F.when(F.length(x) >= R.SUBSTANTIVE, 2).otherwise(0) - if_("__only", 8)
+    context = F.when(n != "", 2).otherwise(0) + F.when(F.col("__long"), 2).otherwise(0) - if_("__only", 8)
     # hundredths, so that halves round as written
     priority = cut(F.floor((F.col("__tool") * 45 + F.col("__impact") * 35 + F.col("__sure") * 20 + context * 100 + 50) / 100).cast("int"))
     all_ = F.concat("__s", "__d")
