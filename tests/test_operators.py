@@ -206,3 +206,35 @@ def test_streams(spark, tmp_path):
     put(spark.createDataFrame([(2, "bb"), (3, "c"), (1, "x")], docs.schema), 1)
     put(spark.createDataFrame([(2, "bb"), (3, "c"), (1, "x")], docs.schema), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "v" / "v=1")).select("id", "text").collect())) == [(1, "longer"), (2, "bb"), (3, "c")]
+
+
+def test_company_candidates_are_the_plain_fold(spark):
+    from quill.operators import companies
+
+    rng = random.Random(7)
+    rows = [(d, r, p, f"c{rng.randrange(12)}", rng.randrange(100), rng.randrange(100)) for d in range(5) for r in range(4) for p in range(4)]
+    got = {(r["doc_id"], r["company"]): (r["relevance"], r["certainty"], r["place"]) for r in companies.candidates(spark.createDataFrame(rows, "doc_id long, rank int, place int, company string, relevance long, certainty long"), 5).collect()}
+    want = {}
+    for d in range(5):
+        taken = {}
+        for _, _, _, c, a, b in sorted((x for x in rows if x[0] == d), key=lambda x: (x[1], x[2], x[3])):
+            if c in taken:
+                taken[c] = (max(taken[c][0], a), max(taken[c][1], b), taken[c][2])
+            elif len(taken) < 5:
+                taken[c] = (a, b, len(taken))
+        want |= {(d, c): v for c, v in taken.items()}
+    assert got == want
+
+
+def test_the_rest_stands_without_the_training_data_part(tmp_path):
+    """A copy of the repository without those folders imports and lists its queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "quill", tmp_path / "quill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries() if q[2:3].isdigit()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert out.returncode == 0 and out.stdout.split()[1] == "False"
