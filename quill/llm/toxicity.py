@@ -105,18 +105,15 @@ class Classifier:
     @classmethod
     def fit(cls, found: list[set[str]], target: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 300) -> Classifier:
         at = {t: k for k, t in enumerate(names)}
-        x = np.zeros((len(found), len(names)), dtype=np.float32)
-        for i, f in enumerate(found):
-            for t in f:
-                if t in at:
-                    x[i, at[t]] = 1
+        own = [sorted(at[t] for t in f & at.keys()) for f in found]
+        row, col = np.repeat(np.arange(len(found)), [len(k) for k in own]), np.array([k for ks in own for k in ks], dtype=int)
         w, b = np.zeros(len(names)), 0.0
         m, v, step = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0.05
         weight = weight / weight.sum()
         for k in range(1, rounds + 1):
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(found)) + b, -30, 30)))
             d = (p - target) * weight
-            g = np.append(x.T @ d + 1e-5 * w, d.sum())
+            g = np.append(np.bincount(col, d[row], len(names)) + 1e-5 * w, d.sum())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             change = step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
             w, b = w - change[:-1], b - change[-1]
