@@ -18,8 +18,8 @@ from quill.llm.word_ids import encoder
 #: Frequencies sum to 2 ** SCALE; a lane's state stays in [2 ** 31, 2 ** 63) and moves 32 bits at a time.
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
-BLOCK = 1 << 17
+LANES = 1024
+BLOCK = 1 << 18
 #: Steps of a block between two checkpoints.
 EVERY = 128
 SHARD = 1 << 19

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Sequence
 
@@ -32,6 +33,21 @@ _BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b
 _encoders: dict[str, WordIds] = {}
 
 
+class _Parts(dict):
+    """Ids of words, found out when first asked for; it starts anew when it's full."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.find(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordIds:
     """For a tokenizer that drops white space, so that the ids of a text are those of its white-space-free chunks in turn.
 
@@ -50,8 +66,9 @@ class WordIds:
         self.tokenizer.no_padding()
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
+        self.kind = "HI"[self.dtype.itemsize == 4]
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self._part_ids)
         self.plain = self._is_plain(path)
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -68,7 +85,8 @@ class WordIds:
 
     def _part_ids(self, part: str) -> bytes:
         shown = part if _VISIBLE.fullmatch(part) else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype=self.dtype).tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -91,25 +109,27 @@ class WordIds:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Each text's ids as little-endian bytes of self.dtype; a null text is empty."""
         out: list[bytes] = [b""] * len(texts)
-        latin = {k for k, t in enumerate(texts) if t and self.plain and _LATIN.fullmatch(t) and "<|" not in t}
-        parts = {k: _PARTS.findall(texts[k].lower()) for k in latin}
-        chunks = {k: _SPACE.split(t) if _CONTROL.search(t) else t.split() for k, t in enumerate(texts) if t and k not in latin}
-        for known, split, learn in (
-            (self.parts, parts, lambda new: {w: self._part_ids(w) for w in new}),
-            (self.known, chunks, self._learn),
-        ):
-            new = set()
-            for words in split.values():
-                new.update(words)
-            new = {w for w in new if w not in known}
-            new.discard("")
+        chunks: dict[int, list[str]] = {}
+        part_ids = self.parts.__getitem__
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if self.plain and _LATIN.fullmatch(t) and "<|" not in t:
+                out[k] = b"".join(map(part_ids, _PARTS.findall(t.lower())))
+            else:
+                chunks[k] = _SPACE.split(t) if _CONTROL.search(t) else t.split()
+        if chunks:
+            known = self.known
+            every = set().union(*chunks.values())
+            every.discard("")
+            new = {w for w in every if w not in known}
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = every
             if new:
-                if len(known) + len(new) > CACHE_WORDS and known:
-                    known.clear()
-                    new = {w for words in split.values() for w in words if w}
-                known.update(learn(new))
+                known.update(self._learn(new))
             known[""] = b""
-            for k, words in split.items():
+            for k, words in chunks.items():
                 out[k] = b"".join(map(known.__getitem__, words))
             for w in [w for w in new if len(w) > LONG_WORD]:
                 known.pop(w, None)
