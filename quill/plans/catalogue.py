@@ -31,19 +31,19 @@ def registry_match(t: Tables) -> DataFrame:
 
 @query(
     "evidence_overlap",
-    """WITH e AS (SELECT DISTINCT l_orderkey, l_partkey % 50 AS clause FROM lineitem WHERE l_orderkey < 400) SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM e a JOIN e b ON a.clause = b.clause AND a.l_orderkey < b.l_orderkey AND a.l_orderkey % 20 = 0 GROUP BY ALL""",
+    """WITH e AS (SELECT l_orderkey, l_linenumber AS line, l_suppkey % 10 AS clause FROM lineitem) SELECT a.l_orderkey, a.line AS a, b.line AS b, count(*) AS shared FROM e a JOIN e b ON a.l_orderkey = b.l_orderkey AND a.clause = b.clause AND a.line < b.line GROUP BY ALL""",
 )
 def evidence_overlap(t: Tables) -> DataFrame:
-    """Evidence that shares clauses with chosen evidence: an equi-join on clauses and a count, not a comparison of all sets."""
-    e = t.raw("lineitem").filter("l_orderkey < 400").select("l_orderkey", (F.col("l_partkey") % 50).alias("clause")).distinct()
-    a, b = e.filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("a"), "clause"), e.select(F.col("l_orderkey").alias("b"), "clause")
-    return a.join(b, "clause").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Evidence of one report that shares clauses: an equi-join on report and clause, and a count."""
+    e = t.raw("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 10).alias("clause"))
+    a, b = e.withColumnRenamed("line", "a"), e.withColumnRenamed("line", "b")
+    return a.join(b, ["l_orderkey", "clause"]).filter("a < b").groupBy("l_orderkey", "a", "b").agg(F.count("*").alias("shared"))
 
 
-@query("policy_pages", r"SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/(en|fr)/\d*[05]([?#]|$)') AND page_id >= 5 AND NOT contains(url, 'blog.')")
+@query("policy_pages", r"SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/(en|fr)/\d*[05]([?#]|$)') AND NOT contains(url, 'blog.')")
 def policy_pages(t: Tables) -> DataFrame:
-    """What a source's address rules leave, from a first id on."""
-    return t.raw("pages").filter("page_id >= 5").filter(~F.col("url").rlike(r"/(en|fr)/\d*[05]([?#]|$)") & ~F.contains("url", F.lit("blog."))).select("page_id")
+    """What a source's address rules leave."""
+    return t.raw("pages").filter(~F.col("url").rlike(r"/(en|fr)/\d*[05]([?#]|$)") & ~F.contains("url", F.lit("blog."))).select("page_id")
 
 
 @query("attachment_links", "WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))) AS link FROM pages), k AS (SELECT *, CASE WHEN regexp_matches(link, '[A-Z]') THEN 'upper' WHEN length(link) > 8 THEN 'long' ELSE 'short' END AS kind, row_number() OVER (PARTITION BY page_id ORDER BY link) AS r FROM l) SELECT page_id, kind, count(*) AS n FROM k WHERE r <= 32 GROUP BY ALL")
@@ -182,22 +182,25 @@ def quality_metrics(t: Tables) -> DataFrame:
     return pairs.join(known, "l_suppkey", "left").groupBy("l_returnflag").agg(F.sum("k").alias("n"), F.count("*").alias("companies"), F.count("own").alias("independent"))
 
 
-@query("crawl_counts", "WITH c AS (SELECT page_id, split_part(url, '#', 1) AS u FROM pages WHERE page_id >= 5), d AS (SELECT u, min(page_id) AS keep, count(*) AS n FROM c GROUP BY u) SELECT CAST(sum(n) AS BIGINT) AS collected, count(*) AS canonical, CAST(sum(n - 1) AS BIGINT) AS duplicates, count(*) FILTER (WHERE keep % 3 = 0) AS planned FROM d")
+@query("crawl_counts", "WITH c AS (SELECT page_id, split_part(url, '#', 1) AS u FROM pages), d AS (SELECT u, min(page_id) AS keep, count(*) AS n FROM c GROUP BY u) SELECT CAST(sum(n) AS BIGINT) AS collected, count(*) AS canonical, CAST(sum(n - 1) AS BIGINT) AS duplicates, count(*) FILTER (WHERE keep % 3 = 0) AS planned FROM d")
 def crawl_counts(t: Tables) -> DataFrame:
     """Collected, kept, left out and planned pages of a run."""
-    c = t.raw("pages").filter("page_id >= 5").select("page_id", F.split_part("url", F.lit("#"), F.lit(1)).alias("u"))
+    c = t.raw("pages").select("page_id", F.split_part("url", F.lit("#"), F.lit(1)).alias("u"))
     d = c.groupBy("u").agg(F.min("page_id").alias("keep"), F.count("*").alias("n"))
     return d.agg(F.sum("n").alias("collected"), F.count("*").alias("canonical"), F.sum(F.col("n") - 1).alias("duplicates"), F.count_if(F.col("keep") % 3 == 0).alias("planned"))
 
 
-@query("contrast_policies", "WITH d AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 10 < 3), s AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.lang = b.lang THEN 6 ELSE 0 END + CASE WHEN a.source = b.source THEN 4 ELSE 0 END AS score FROM d a JOIN d b ON a.doc_id % 50 = 0 AND b.doc_id % 20 = a.doc_id % 20 AND a.doc_id <> b.doc_id) SELECT a, b, CAST(score AS INTEGER) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score, b) AS r FROM s) WHERE r <= 5")
+@query("contrast_policies", """WITH c AS (SELECT doc_id AS b, lang, source FROM documents ORDER BY doc_id DESC LIMIT 40), s AS (SELECT d.doc_id AS a, b, CASE WHEN d.lang = c.lang THEN 6 ELSE 0 END + CASE WHEN d.source = c.source THEN 4 ELSE 0 END AS score FROM documents d JOIN c ON d.doc_id <> c.b)
+  SELECT a, b, CAST(score AS INTEGER) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score, b) AS r FROM s) WHERE r <= 5""")
 def contrast_policies(t: Tables) -> DataFrame:
-    """The five least alike within a block of comparable documents."""
-    d = t.raw("documents").filter("doc_id % 10 < 3").select("doc_id", "lang", "source", (F.col("doc_id") % 20).alias("block"))
-    a = d.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("a"), F.col("lang").alias("al"), F.col("source").alias("asrc"), "block")
-    score = F.when(F.col("al") == F.col("lang"), 6).otherwise(0) + F.when(F.col("asrc") == F.col("source"), 4).otherwise(0)
-    s = a.join(d, "block").filter("a <> doc_id").select("a", F.col("doc_id").alias("b"), score.alias("score"))
-    return top_per(s, ["a"], [F.asc("score"), F.asc("b")], 5).select("a", "b", "score", "rank")
+    """Of the forty newest documents, the five that each document is least like: one row of forty goes to all tasks, and each row sorts its own array."""
+    d = t.raw("documents").select("doc_id", "lang", "source")
+    newest = page(d, [F.desc("doc_id")], 40).agg(F.collect_list(F.struct("doc_id", "lang", "source")).alias("newest"))
+    score = lambda c: F.when(c["lang"] == F.col("lang"), 6).otherwise(0) + F.when(c["source"] == F.col("source"), 4).otherwise(0)
+    each = F.transform(F.filter("newest", lambda c: c["doc_id"] != F.col("doc_id")), lambda c: F.struct(score(c).alias("score"), c["doc_id"].alias("b")))
+    best = F.slice(F.array_sort(each), 1, 5)
+    out = d.join(F.broadcast(newest)).select(F.col("doc_id").alias("a"), F.posexplode(best).alias("rank", "c"))
+    return out.select("a", "c.b", "c.score", (F.col("rank") + 1).alias("rank"))
 
 
 @query("composed_evidence", "WITH w AS (SELECT conv_id, turn, text, lower(trim(substr(text, 1, 20))) AS title FROM conversations), f AS (SELECT conv_id, title, min(turn) AS turn FROM w GROUP BY ALL) SELECT conv_id, count(*) AS parts, min(turn) AS first FROM f GROUP BY conv_id")

@@ -210,14 +210,15 @@ def sentence_counts(t: Tables) -> DataFrame:
 
 @query(
     "similar_policies",
-    """WITH w AS (SELECT doc_id, lang, source, word, min(pos) AS pos FROM (SELECT doc_id, lang, source, unnest(string_split(lower(text), ' ')) AS word, generate_subscripts(string_split(lower(text), ' '), 1) AS pos FROM documents WHERE doc_id % 10 < 3)
+    """WITH w AS (SELECT doc_id, lang, source, word, min(pos) AS pos FROM (SELECT doc_id, lang, source, unnest(string_split(lower(text), ' ')) AS word, generate_subscripts(string_split(lower(text), ' '), 1) AS pos FROM documents)
       WHERE length(word) BETWEEN 4 AND 6 GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM w) WHERE r <= 20),
-    n AS (SELECT doc_id, lang, source, count(*) AS size FROM k GROUP BY ALL), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.word = b.word AND a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
+    n AS (SELECT doc_id, lang, source, count(*) AS size FROM k GROUP BY ALL), c AS (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 40),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.word = b.word AND b.doc_id IN (SELECT doc_id FROM c) AND a.doc_id <> b.doc_id GROUP BY ALL),
     s AS (SELECT a, b, CAST(floor(1000 * (80.0 * shared / (x.size + y.size - shared) + CASE WHEN x.lang = y.lang THEN 6 ELSE 0 END + CASE WHEN x.source = y.source THEN 4 ELSE 0 END) + 0.0001) AS BIGINT) AS score FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)
     SELECT a, b, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s WHERE score >= 18000) WHERE rank <= 5""",
 )
 def similar_policies(t: Tables) -> DataFrame:
-    return textrules.similar(t.raw("documents").filter("doc_id % 10 < 3"), F.col("doc_id") % 50 == 0)
+    return textrules.similar(t.raw("documents"))
 
 
 @query("confidence_estimate", "SELECT doc_id, CAST(least(90, 40 + CASE WHEN n_chars >= 280 THEN 15 ELSE 0 END + CASE WHEN n_chars >= 2000 THEN 10 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 10 ELSE 0 END + CASE WHEN source IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN contains(lower(text), 'the ') THEN 10 ELSE 0 END) AS BIGINT) AS confidence, CASE WHEN n_chars >= 2000 THEN 'broad' WHEN n_chars >= 280 THEN 'sector' ELSE 'local' END AS scope FROM documents")

@@ -213,10 +213,10 @@ def event_labels(t: Tables) -> DataFrame:
     return t.raw("events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("label", L.labelled(F.col("event_type"), {"view": "Viewed"}))
 
 
-@query("timeline_merge", "SELECT * FROM (SELECT doc_id AS item, 'policy' AS kind, CASE WHEN doc_id % 17 <> 4 THEN doc_id % 90 END AS day FROM documents WHERE doc_id < 300 UNION ALL SELECT o_orderkey, 'job', CAST(o_orderdate AS DATE) - DATE '1995-01-01' FROM orders WHERE o_orderkey < 300) ORDER BY day NULLS LAST, kind, item LIMIT 120")
+@query("timeline_merge", "SELECT * FROM (SELECT doc_id AS item, 'policy' AS kind, CASE WHEN doc_id % 17 <> 4 THEN doc_id % 90 END AS day FROM documents UNION ALL SELECT o_orderkey, 'job', CAST(o_orderdate AS DATE) - DATE '1995-01-01' FROM orders) ORDER BY day NULLS LAST, kind, item LIMIT 120")
 def timeline_merge(t: Tables) -> DataFrame:
-    d = t.raw("documents").filter("doc_id < 300").select(F.col("doc_id").alias("item"), F.lit("policy").alias("kind"), F.when(F.col("doc_id") % 17 != 4, F.col("doc_id") % 90).alias("day"))
-    o = t.raw("orders").filter("o_orderkey < 300").select(F.col("o_orderkey").alias("item"), F.lit("job").alias("kind"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long").alias("day"))
+    d = t.raw("documents").select(F.col("doc_id").alias("item"), F.lit("policy").alias("kind"), F.when(F.col("doc_id") % 17 != 4, F.col("doc_id") % 90).alias("day"))
+    o = t.raw("orders").select(F.col("o_orderkey").alias("item"), F.lit("job").alias("kind"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long").alias("day"))
     return page(d.unionByName(o), [F.asc_nulls_last("day"), F.asc("kind"), F.asc("item")], 120)
 
 

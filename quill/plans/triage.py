@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quill.functions import rules as R
 from quill.operators import triage
+from quill.operators.joins import page
 from quill.plans.base import query
 from quill.sources.tables import Tables
 
@@ -93,15 +94,30 @@ def triage_ranked(t: Tables) -> DataFrame:
     return _usable(triaged(t)).orderBy(*triage.rank_order("doc_id")).limit(100).select("doc_id", "depth", "priority", "published", "source_priority")
 
 
-def plan(t: Tables, sequence: int | None, most: int = 2000) -> DataFrame:
-    """A run's candidates. Only the head of the ranking takes part in the rotation, so the rank is over a bounded top-k."""
-    head = _usable(triaged(t)).orderBy(*triage.rank_order("doc_id")).limit(most)
-    ranked = head.withColumn("rank", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*triage.rank_order("doc_id"))) - 1).cast("long"))
-    total = min(most, _usable(triaged(t)).count())
-    return triage.choose(ranked, total, LIMIT, sequence)
-
-
-_RANKED = _SQL + f", k AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS rank FROM o WHERE NOT excluded QUALIFY rank < 2000), z AS (SELECT count(*) AS n FROM k)"
+def plan(t: Tables, sequence: int | None) -> DataFrame:
+    """A run's candidates, with their rank among all and their place in the run.
+
+    Only keys are sorted, and only the pages of the order that the run takes are kept: the reserved head, and the turn's
+    slots, which may wrap around. So the rotation goes through all candidates, and no window sees more than a run's places.
+    """
+    own = _usable(triaged(t)).withColumn("long", F.length(F.substring(triage.squeezed("text"), 1, R.TEXT_LIMIT)) >= R.SUBSTANTIVE)
+    own = own.select("doc_id", "depth", "priority", "published", "source_priority", "title", "long")
+    total, order = own.count(), triage.rank_order("doc_id")
+    reserved, slots, start = triage.rotation(total, LIMIT, sequence)
+    tail = total - reserved
+    slots = min(slots, tail)
+    spans = [(0, reserved, 0), (reserved + start, min(slots, tail - start), reserved), (reserved, max(0, slots - (tail - start)), reserved + tail - start)]
+    out = None
+    for first, n, place in spans:
+        if n <= 0:
+            continue
+        number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1
+        some = page(own, order, n, first).withColumn("k", number).select("*", (F.col("k") + first).cast("long").alias("rank"), (F.col("k") + place).cast("long").alias("place")).drop("k")
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else own.limit(0).select("*", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("place"))
+
+
+_RANKED = _SQL + f", k AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS rank FROM o WHERE NOT excluded), z AS (SELECT count(*) AS n FROM k)"
 for _sequence in (1, 3, 40):
     _start = (_sequence - 1) * 16
 
@@ -110,7 +126,7 @@ for _sequence in (1, 3, 40):
         _RANKED + f", y AS (SELECT *, CAST((((rank - 8 - {_start} % (n - 8)) % (n - 8)) + (n - 8)) % (n - 8) AS BIGINT) AS turn FROM k, z) SELECT doc_id, rank, CASE WHEN rank < 8 THEN rank ELSE turn + 8 END AS place FROM y WHERE rank < 8 OR turn < 16",
     )
     def _rotation(t: Tables, sequence: int = _sequence) -> DataFrame:
-        return plan(t, sequence).select("doc_id", "rank", F.col("place").cast("long").alias("place"))
+        return plan(t, sequence).select("doc_id", "rank", "place")
 
 
 @query(
@@ -120,7 +136,7 @@ for _sequence in (1, 3, 40):
 )
 def queue_split(t: Tables) -> DataFrame:
     """The bounded pool's manual candidates with enough text: the first few are recommended, some more wait, the rest overflows."""
-    own = plan(t, None).filter((F.length(F.substring(triage.squeezed("text"), 1, R.TEXT_LIMIT)) >= R.SUBSTANTIVE) & F.col("depth").isin("L2", "L3"))
+    own = plan(t, None).filter(F.col("long") & F.col("depth").isin("L2", "L3"))
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("rank"))
     part = F.when(F.col("p") <= RECOMMENDED, "recommended").when(F.col("p") <= QUEUE, "pending").otherwise("overflow")
     return own.withColumn("p", place).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("rank").alias("first"))

@@ -47,9 +47,9 @@ class Tables:
     def policies(self) -> DataFrame:
         """Published documents; some are known by an id, some by an external id only, several may share one."""
         d = F.col("doc_id")
-        return self.raw("documents").filter(~d.between(20, 39)).select(
+        return self.raw("documents").select(
             d.alias("policy_no"),
-            d.cast("string").alias("policy_id"),
+            F.when(d.between(20, 39), F.concat(F.lit("x"), d.cast("string"))).otherwise(d.cast("string")).alias("policy_id"),
             F.when(d >= 50, ((d - 50) % 60).cast("string")).alias("external_id"),
             F.substring("text", 1, 40).alias("title"),
             F.col("lang").alias("category"),
@@ -124,12 +124,12 @@ SQL = {
       profiles AS (SELECT c_custkey AS user_id, c_name AS display_name, lower(c_name) || '@example.org' AS email, c_mktsegment AS role FROM customer)""",
     "policies": """
       policies AS (
-        SELECT doc_id AS policy_no, CAST(doc_id AS VARCHAR) AS policy_id,
+        SELECT doc_id AS policy_no, CASE WHEN doc_id BETWEEN 20 AND 39 THEN 'x' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS policy_id,
           CASE WHEN doc_id >= 50 THEN CAST((doc_id - 50) % 60 AS VARCHAR) END AS external_id,
           substr(text, 1, 40) AS title, lang AS category, source AS issuer,
           CAST(DATE '2026-05-01' + CAST(doc_id % 90 AS INTEGER) AS DATE) AS publish_date,
           (doc_id * 37) % 1000 AS created_minute, text, n_chars
-        FROM documents WHERE doc_id NOT BETWEEN 20 AND 39)""",
+        FROM documents)""",
     "queue": """
       queue AS (
         SELECT *, ['L0', 'L1', 'L2', 'L3'][policy_no % 4 + 1] AS depth, policy_no * 7 % 101 AS priority,
