@@ -17,6 +17,8 @@ TITLES = [
     "关于开展首台（套）装备试点申报的通知", "十五五规划纲要", "行业标准制修订项目计划", "制造业数字化实施方案", "公告", "关于加快企业技术改造的指导意见", "政府采购目录认定结果", "一般说明",
 ]
 LIMIT, QUEUE, RECOMMENDED = 24, 8, 3
+#: A page of at most so many rows is kept to hold the head and the turn together.
+NEAR = 10_000
 
 
 def candidates(t: Tables) -> DataFrame:
@@ -106,6 +108,10 @@ def plan(t: Tables, sequence: int | None) -> DataFrame:
     reserved, slots, start = triage.rotation(total, LIMIT, sequence)
     tail = total - reserved
     slots = min(slots, tail)
+    end = reserved + start + slots
+    if end <= min(NEAR, total):  # the turn is near the head: one page holds both
+        number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1
+        return triage.choose(page(own, order, end).withColumn("rank", number.cast("long")), total, LIMIT, sequence).withColumn("place", F.col("place").cast("long"))
     spans = [(0, reserved, 0), (reserved + start, min(slots, tail - start), reserved), (reserved, max(0, slots - (tail - start)), reserved + tail - start)]
     out = None
     for first, n, place in spans:
