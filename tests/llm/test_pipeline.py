@@ -39,3 +39,20 @@ def test_near_stage_finds_what_jaccard_finds(spark):
     got = {r["doc_id"] for r in stages.one_of_each(spark, docs, "").collect()}
     assert got == {10 * k for k in range(30)} | {10 * k + 4 for k in range(30)}
     assert simhash.near_classes(docs.limit(0), stages.WORDS, stages.RADIUS, stages.LANES, stages.BANDS, stages.WIDTH).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls everywhere, empty and repeated rows, clashing columns, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, component_id long, first long"
+    rows = [(None, None, None, None, None, "a", 1, 2), (1, None, None, "s", None, None, None, None), (2, "", "en", None, 0, None, None, None), (None, "the and of words here", "en", "s", 20, None, None, None)]
+    rows += [(3, "the same words again and again", "en", "s", 30, None, None, None)] * 3 + [(4, "le même texte ici", None, "s", 17, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = "/root/testdata/sf0.001"
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, docs, labels).columns == docs.columns
+        assert f(spark, docs.limit(0), labels).count() == 0
+    assert stages.clean(spark, docs, labels).count() == len(rows)
+    kept = stages.one_of_each(spark, docs, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "4", "None", "None"]
+    assert {r["doc_id"] for r in stages.language(spark, docs, labels).collect()} <= {None, 3, 4}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, labels).selectExpr("sum(length) > 0").first()[0]
