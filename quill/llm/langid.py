@@ -155,7 +155,7 @@ def train(docs: DataFrame, texts: int = TEXTS, seed: int = 1) -> ByteNet | None:
 
 
 def predict(texts: list[str | None], net: ByteNet | None, tables: dict, chunk: int = 1024) -> list[tuple[str, float]]:
-    """Language and probability of each whole text: all its windows count, by their lengths."""
+    """Language and probability of each whole text: all its windows count, by their bytes against its fullest one's."""
     out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
     known = [k for k, t in enumerate(texts) if t and net and has_letter(t)]
     if not known:
@@ -163,8 +163,9 @@ def predict(texts: list[str | None], net: ByteNet | None, tables: dict, chunk: i
     rows = [windows(texts[k].encode()) for k in known]
     x = np.concatenate(rows)
     p = np.concatenate([net.log_probs(x[s : s + chunk], tables) for s in range(0, len(x), chunk)])
-    p *= ((x > 0).sum(axis=1) / WINDOW)[:, None]
     starts = np.cumsum([0, *map(len, rows)])[:-1]
+    filled = (x > 0).sum(axis=1)
+    p *= (filled / np.repeat(np.maximum(1, np.maximum.reduceat(filled, starts)), [len(r) for r in rows]))[:, None]
     z = np.add.reduceat(p, starts, axis=0)
     z -= z.max(axis=1, keepdims=True)
     q = np.exp(z)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quill.llm import common, langid, lines, packing, simhash, toxicity
 
-#: Documents whose language is less sure than this go.
-SURE = 0.5
+#: Documents whose language is less sure than this go: hardly more than a guess among few languages, so that short texts stay.
+SURE = 0.3
 #: Near-duplicates: five-word shingles at a likeness of 0.8, which 504 bits of SimHash show as at most so many differing bits.
 WORDS, LANES, BANDS, WIDTH, RADIUS = 5, 8, 36, 14, 78
 
