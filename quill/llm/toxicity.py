@@ -22,7 +22,7 @@ GAIN, SURE_GAIN, MOVES_ALONG = 6.0, 12.0, 0.3
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def terms(text: str) -> set[str]:
@@ -152,13 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None
     ids = known.filter(draw < most)
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text is not null")
     sample = text.join(F.broadcast(ids.limit(2 * sum(rows.values()))), "doc_id").limit(2 * sum(rows.values()))
-    found, y = [], []
-    for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"], r["toxic"])):
-        found.append(terms(r["text"]))
-        y.append(r["toxic"])
-    y = np.array(y, dtype=int)
+    texts = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.collect())
+    y = np.array([t[2] for t in texts], dtype=int)
     if not y.any():
         return Classifier(-30.0, {})
+    # terms of fewer toxic rows can't be sure of anything; without them the sample's terms take little memory
+    often = Counter(chain.from_iterable(terms(text) for _, text, toxic in texts if toxic))
+    often = {t: t for t, n in often.items() if n >= 3}
+    found = [{often[t] for t in terms(text) if t in often} for _, text, _ in texts]
     names = lexicon(found, y, TERMS)
     v = votes(found, families(found, lexicon(found, y, TERMS, SURE_GAIN), VOTERS))
     target = LabelModel(v, y).posterior(v)
