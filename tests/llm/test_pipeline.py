@@ -41,6 +41,59 @@ def test_near_stage_finds_what_jaccard_finds(spark):
     assert simhash.near_classes(docs.limit(0), stages.WORDS, stages.RADIUS, stages.LANES, stages.BANDS, stages.WIDTH).count() == 0
 
 
+def near_pairs(likenesses, pairs, shared=360, seed=5):
+    """Rows of pairs of texts without common words but in the pair: of n shingles on each side, so many are shared."""
+    import random
+
+    rng, rows, asked = random.Random(seed), [], {}
+    for want in likenesses:
+        for _ in range(pairs):
+            own = round((shared / want - shared) / 2)
+            k = 2 * len(asked)
+            word = lambda: f"w{rng.getrandbits(48):x}"
+            head = [word() for _ in range(shared + 4)]
+            a, b = (" ".join(head + [word() for _ in range(own)]) for _ in range(2))
+            rows += [(k, a), (k + 1, b)]
+            asked[k] = shared / (shared + 2 * own)
+    return rows, asked
+
+
+def test_near_stage_at_its_likeness(spark):
+    """Pairs right over 0.8 are found, and none right below it is linked."""
+    rows, asked = near_pairs([0.75, 0.78, 0.795, 0.8, 0.82, 0.85], 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in stages.one_of_each(spark, docs, "").collect()}
+    assert set(asked) <= kept
+    assert all(k + 1 in kept for k, j in asked.items() if j < 0.8)
+    over = [k for k, j in asked.items() if j >= 0.8]
+    assert len(over) >= 80 and sum(k + 1 not in kept for k in over) >= 0.97 * len(over)
+
+
+def test_verified_links_in_blocks(spark, monkeypatch):
+    """A candidate class that is dealt out in blocks gives the classes that all pairs give."""
+    import random
+
+    import numpy as np
+
+    from quill.llm import graph
+
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(12)]
+    texts = []
+    for k in range(90):
+        words = list(base[k % 12])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(99)}"
+        texts.append((1, k, " ".join(words)))
+    got = {r["node"]: r["root"] for r in graph.components(simhash.verified(spark.createDataFrame(texts, "root long, node long, text string"), 5, 0.8)).collect()}
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, _, t in texts]
+    pairs = [(b, a) for a in range(90) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = dict(graph.forest(pairs))
+    assert got == want | {v: v for v in want.values()}
+    assert simhash.set_links([np.unique(simhash.shingle_hashes(t, 5)) for t in ("", "a b", "a b")], 0.8) == [(1, 2)]
+
+
 def test_stages_take_odd_rows(spark):
     """Nulls everywhere, empty and repeated rows, clashing columns, and no rows at all."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, component_id long, first long"
