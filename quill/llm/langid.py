@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quill.llm import common
@@ -121,26 +122,33 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, texts: int = TEXTS, seed: int = 1) -> ByteNet | None:
-    """The network, from rows with a text and a lang whose crc32(doc_id) mod 5 isn't 0; None if there are no such rows.
-
-    The sample is bounded: at most so many texts of each language, those of the smallest hashes, and a few windows of each.
-    """
+def sample(docs: DataFrame, texts: int = TEXTS) -> dict[str, list[str]]:
+    """Of each language the `texts` texts with a letter and of the smallest hashes, or all if there are fewer, however large the others are."""
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    rows = rows.filter((common.remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.filter((common.remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return None
+        return {}
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
-    limit = spark.createDataFrame([(k, int(min(1.0, 1.3 * texts / n + 0.001) * (1 << 30))) for k, n in sizes.items()], "lang string, most long")
-    part = rows.join(F.broadcast(limit), "lang").filter(draw < F.col("most"))
-    found: dict[str, list[str]] = {}
-    for r in part.select("lang", "text", draw.alias("d"), "doc_id").orderBy("d", "doc_id").limit(2 * texts * len(sizes)).drop("d").toLocalIterator():
-        own = found.setdefault(r["lang"], [])
-        if len(own) < texts and has_letter(r["text"]):
-            own.append(r["text"])
-    labels = sorted(k for k, v in found.items() if v)
+    # eight deviations over what is wanted, so that a language's draws below its bound are enough
+    share = texts + 8 * texts**0.5 + 20
+    limit = spark.createDataFrame([(k, math.ceil(min(1.0, share / n) * (1 << 30))) for k, n in sizes.items()], "lang string, most long")
+    part = rows.join(F.broadcast(limit), "lang").select("lang", "text", "doc_id", "most", draw.alias("d")).filter("d < most")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("d", "doc_id", "text"))
+    found: dict[str, list[tuple]] = {}
+    for r in part.withColumn("place", place).filter(F.col("place") <= texts).select("lang", "place", "text").toLocalIterator():
+        found.setdefault(r["lang"], []).append((r["place"], r["text"]))
+    return {k: [t for _, t in sorted(v)] for k, v in found.items()}
+
+
+def train(docs: DataFrame, texts: int = TEXTS, seed: int = 1) -> ByteNet | None:
+    """The network, from rows with a text and a lang whose crc32(doc_id) mod 5 isn't 0; None if there are no such rows.
+
+    The sample is bounded: at most so many texts of each language, those of the smallest hashes, and a few windows of each.
+    """
+    found = sample(docs, texts)
+    labels = sorted(found)
     if not labels:
         return None
     x, y = [], []

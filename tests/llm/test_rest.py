@@ -84,6 +84,16 @@ def test_language(spark):
     assert langid.identify(odd, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_of_unequal_sizes(spark):
+    """A small language has all its texts in the sample beside large ones; the large ones have as many as are wanted."""
+    large = spark.range(150_000).selectExpr("id as doc_id", "concat('some text ', id) as text", "concat('l', id % 3) as lang")
+    small = spark.range(150_000, 150_012).selectExpr("id as doc_id", "concat('autre texte ', id) as text", "'small' as lang")
+    rows = small.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()
+    docs = large.union(small)
+    assert {k: len(v) for k, v in langid.sample(docs, 9).items()} == {"l0": 9, "l1": 9, "l2": 9, "small": min(9, rows)}
+    assert langid.train(docs, 9).labels == ["l0", "l1", "l2", "small"]
+
+
 def test_network_scores_as_it_trains():
     rng = np.random.default_rng(0)
     net = langid.ByteNet(["a", "b"])
