@@ -136,7 +136,8 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None) -> Classifier:
     """The classifier, from labelled rows whose crc32(doc_id) mod 4 isn't 2; a constant score of 0 if there are none.
 
-    The sample is bounded: at most so many rows of each class, by the smallest hashes of doc_id. The terms of its texts give
+    The sample is bounded: at most so many rows of each class, by the smallest hashes of doc_id. Of repeated ids the smallest
+    text counts. The terms of its texts give
     the voters' lexicons, the label model turns votes into posteriors, and those are what the classifier learns from. Rows
     count so that the classes have their shares among all labelled rows. Labels that aren't 0 or 1, null ids and null texts
     teach nothing.
@@ -151,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None
     most = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, rows[1] / sizes[1]) * (1 << 30)))).otherwise(F.lit(int(min(1.0, rows[0] / max(1, sizes.get(0, 0))) * (1 << 30))))
     ids = known.filter(draw < most)
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text is not null")
-    sample = text.join(F.broadcast(ids.limit(2 * sum(rows.values()))), "doc_id").limit(2 * sum(rows.values()))
+    bound, order = 2 * sum(rows.values()), (draw, "doc_id", "toxic")
+    one = text.join(F.broadcast(ids.orderBy(*order).limit(bound)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = one.orderBy(*order).limit(bound)
     texts = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.collect())
     y = np.array([t[2] for t in texts], dtype=int)
     if not y.any():

@@ -113,6 +113,20 @@ def test_toxicity(spark):
     assert toxicity.train(docs, labels.limit(0)).score("anything") < 0.01
 
 
+def test_toxicity_with_a_repeated_id(spark, monkeypatch):
+    """An id with very many rows takes one place of the sample, whatever order the rows come in."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'vile hateful words ', 'kind calm words '), id) as text")
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic")
+    copies = spark.range(4000).selectExpr("cast(1 as long) as doc_id", "'kind calm words 1' as text")
+    rows = {1: 100, 0: 100}
+    texts = []
+    fit = toxicity.Classifier.fit.__func__
+    monkeypatch.setattr(toxicity.Classifier, "fit", classmethod(lambda cls, found, target, *a: texts.append(len(target)) or fit(cls, found, target, *a)))
+    plain = toxicity.train(docs, labels, rows)
+    hot = toxicity.train(copies.unionByName(docs), labels.filter("doc_id = 1").union(labels), rows)
+    assert texts[0] == texts[1] and plain.weights == hot.weights and plain.bias == hot.bias
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.3
