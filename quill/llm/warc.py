@@ -83,7 +83,7 @@ def _plain(raw: bytes, at: int) -> tuple[Record, int]:
     """The record at a place in uncompressed bytes, and where it ends; ValueError if a check fails."""
     if raw[at : at + 5] != b"WARC/":
         raise ValueError("no version line")
-    stop = raw.find(b"\r\n\r\n", at, at + (1 << 16))
+    stop = raw.find(b"\r\n\r\n", at)
     if stop < 0:
         raise ValueError("header without end")
     header = {}

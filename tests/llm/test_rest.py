@@ -46,6 +46,14 @@ def test_warc_table(spark):
     assert warc.digests(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_long_url(spark):
+    """A header over 64 KB, also one that grows by its blanks, is read back."""
+    rows = [(1, "http://x/" + "a" * 70_000, "<p>one</p>"), (2, "http://x/" + " " * 30_000, "<p>two</p>"), (3, "http://x/3", "<p>three</p>")]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.digests(archives).collect()) == [(k, len(h)) for k, _, h in rows]
+    assert warc.gaps(archives).count() == 0
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 40)
     monkeypatch.setattr(topk, "QUERIES", 3)
