@@ -17,6 +17,8 @@ from quill.llm import common
 CACHE_WORDS = 300_000
 LONG_WORD = 64
 PAIRS = 2_000_000
+#: Byte states after which the transition table starts anew; a word's own states may come on top.
+STATES = 150_000
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space is split as the vocabulary's rule does it; runs of other characters, with a blank before, are split further.
 _CHUNKS = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
@@ -31,16 +33,20 @@ def _letters() -> dict[str, int]:
 
 
 class Automaton:
-    """A deterministic automaton over tokens that accepts exactly the token sequences that the merges leave.
+    """A deterministic automaton over tokens that accepts exactly the token sequences that the merges leave, and its byte tables.
 
     It starts as one state with an arc for each byte. The gadget of merge k, (a, b) -> c, splits the state behind a from its
     likes and takes its arc b away at k; gives every state with an arc a an arc c beside it; and lets c end where b ends, in
     a fork of that state as it was before k. Each state is thus the state behind one last token. A state is kept as what it
     was forked from and when, an arc as what it was added beside and when, and an arc's removal as its time, so the automaton
-    takes space in proportion to the merges; arcs asked for are resolved along these records and kept in a table.
-
-    Exactly one accepted token sequence spells a word, its encoding, and so does one for each of its prefixes. So a place in
-    a word has one state at most, and one from which no arc leads on is never tried again: a run is linear in the word.
+    takes space in proportion to the merges; arc() resolves an arc along these records.
+
+    Exactly one accepted token sequence spells a word, its encoding, and so does one for each of its prefixes. So the
+    automaton composed with the labels' spelling is deterministic over bytes: a byte state holds, for each place from which a
+    token is still being spelled, the spelling's node and the token state at that place, and names the one token that ends
+    here. run() makes one look-up in the transition table a byte; rows of the table are filled when a word first comes to
+    them, as all words have infinitely many, and the table starts anew at STATES states. The accepted sequence is read off
+    backwards from the tokens that ended at each place; nothing is tried twice.
     """
 
     def __init__(self, path: str):
@@ -76,8 +82,10 @@ class Automaton:
                 if at == len(self.ends):
                     self.ends.append(-1)
             self.ends[at] = k
+        self.leads = {key >> 8 for key in self.steps}
         self.arcs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self._clear()
         import regex
 
         self.rule = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -120,37 +128,53 @@ class Automaton:
             else:
                 x, y, until = self.right[x], self.left[y], bx - 1
 
+    def _clear(self) -> None:
+        """The byte automaton's start: nothing is spelled yet, and any token may come."""
+        self.states: dict[tuple, int] = {((0, -1),): 0}
+        self.holds: list[tuple] = [((0, -1),)]
+        self.last: list[int] = [-1]
+        self.table: dict[int, int] = {}
+
+    def _fill(self, state: int, byte: int) -> int:
+        """One entry of the transition table: the byte state that a byte leads to."""
+        steps, ends, places, token = self.steps, self.ends, [], -1
+        for node, before in self.holds[state]:
+            to = steps.get(node << 8 | byte)
+            if to is None:
+                continue
+            t = ends[to]
+            if t >= 0 and (before < 0 or self.arc(before, t)):
+                token = t
+            if to in self.leads:
+                places.append((to, before))
+        if token < 0:
+            raise ValueError("a byte without a token")
+        key = (*places, (0, token))
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.holds)
+            self.holds.append(key)
+            self.last.append(token)
+        self.table[state << 8 | byte] = to
+        return to
+
     def run(self, word: bytes) -> list[int]:
-        """The ids of one word: arcs out of each state along the word's bytes, longer labels first, back from where none leads on."""
-        n = len(word)
-        steps, ends, arcs, labels, width = self.steps, self.ends, self.arcs, self.labels, self.n
-        if (t := self.token.get(word)) is not None:
-            return [t]
-        path: list[int] = []
-        dead: set[int] = set()
-        pos = 0
-        while pos < n:
-            at, k, found = 0, pos, []
-            while k < n and (at := steps.get(at << 8 | word[k])) is not None:
-                k += 1
-                if (t := ends[at]) >= 0:
-                    found.append((t, k))
-            for t, k in reversed(found):
-                if k in dead:
-                    continue
-                ok = True
-                if path and (ok := arcs.get(path[-1] * width + t)) is None:
-                    ok = self.arc(path[-1], t)
-                if ok:
-                    path.append(t)
-                    pos = k
-                    break
-            else:
-                if not path:
-                    raise ValueError("a byte without a token")
-                dead.add(pos)
-                pos -= len(labels[path.pop()])
-        return path
+        """The ids of one word: a look-up a byte, then the tokens' labels back from the word's end."""
+        if len(self.holds) > STATES:
+            self._clear()
+        table, state, path = self.table, 0, []
+        for byte in word:
+            to = table.get(state << 8 | byte)
+            if to is None:
+                to = self._fill(state, byte)
+            state = to
+            path.append(to)
+        out, at, last, labels = [], len(word), self.last, self.labels
+        while at:
+            t = last[path[at - 1]]
+            out.append(t)
+            at -= len(labels[t])
+        return out[::-1]
 
     def _made(self, t: int) -> bool:
         """Whether a token's gadget added any arc: its parts are made, and the state behind the left had the right's arc by then."""

@@ -20,8 +20,13 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(33, 0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-#: Latin texts: normalisation leaves them alone, and their letters lower-case one by one.
-_LATIN = re.compile("[\t-\r -~\x85\xa0-\xac\xae-\u012f\u0132-\u024f]*")
+def _stays(c: str) -> bool:
+    """Whether a character lower-cases to one letter of its own range, so that the word rule's classes below hold afterwards."""
+    return len(c.lower()) == 1 and ord(c.lower()) < 0x250 and unicodedata.normalize("NFC", c) == c
+
+
+#: Latin texts: normalisation leaves them alone, and their letters lower-case one by one without leaving the range.
+_LATIN = re.compile("[\t-\r -~\x85" + "".join(re.escape(chr(c)) for c in range(0xA0, 0x250) if c not in (0xAD, 0x131) and _stays(chr(c))) + "]*")
 #: The vocabulary's own rule for words, after lower-casing, for Latin texts.
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 _VISIBLE = re.compile("[!-~]+")

@@ -33,6 +33,28 @@ def test_word_ids_are_the_librarys():
         assert np.frombuffer(ids, own.dtype).tolist() == lib.encode(t or "", add_special_tokens=False).ids
 
 
+def test_word_ids_of_every_latin_character():
+    """Each character of the quick path, upper and lower, beside marks, digits and letters."""
+    own, lib = WordIds(WORD), Tokenizer.from_file(WORD)
+    texts = []
+    for c in {x for k in range(0x250) for x in (chr(k), chr(k).upper(), chr(k).lower())}:
+        texts += [f"'{c}", f"d'{c}tat", f'"{c}a"', f"({c}li)", f".{c}", f"-{c}-", f"a{c}b", f"7{c}7", f"{c}{c}'s", f" {c} ", f"A{c}(B"]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, own.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_word_ids_of_random_strings_over_all_planes():
+    own, lib = WordIds(WORD), Tokenizer.from_file(WORD)
+    rng = random.Random(11)
+    reach = [0x80, 0x250, 0x600, 0x3000, 0xD800, 0x110000]
+    texts = []
+    for _ in range(100_000):
+        top = rng.choice(reach)
+        texts.append("".join(chr(k) if not 0xD800 <= (k := rng.randrange(top if rng.random() < 0.7 else 0x80)) < 0xE000 else "x" for _ in range(rng.randint(1, 8))))
+    wrong = [t for k in range(0, len(texts), 5000) for t, ids, e in zip(texts[k : k + 5000], own.encode(texts[k : k + 5000]), lib.encode_batch(texts[k : k + 5000], add_special_tokens=False), strict=True) if np.frombuffer(ids, own.dtype).tolist() != e.ids]
+    assert not wrong, wrong[:5]
+
+
 def test_automaton_is_the_librarys():
     own, lib = bpe.Automaton(BYTE), Tokenizer.from_file(BYTE)
     rng = random.Random(1)
@@ -74,6 +96,19 @@ def test_gadgets_leave_exactly_the_merged_sequences():
         assert [a.labels[k].decode() for k in a.run(t.encode())] == merged(t)
 
 
+def test_the_byte_table_is_deterministic_and_bounded(monkeypatch):
+    a = bpe.Automaton(BYTE)
+    word = "unbelievabilities".encode() * 3
+    first, size = a.run(word), len(a.table)
+    assert a.run(word) == first and len(a.table) == size  # every step is in the table by then
+    state = 0
+    for byte in word:
+        state = a.table[state << 8 | byte]
+    assert a.last[state] == first[-1]
+    monkeypatch.setattr(bpe, "STATES", 10)
+    assert a.run(word) == first and a.run(b"x") and len(a.holds) <= 2 and a.run(word) == first
+
+
 def test_round_trips(spark):
     lib = Tokenizer.from_file(BYTE)
     got = sorted(map(tuple, bpe.round_trips(frame(spark), BYTE).collect()), key=str)
