@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,23 @@ def forest(pairs) -> list[tuple]:
     return [(x, top(x)) for x in list(up) if top(x) != x]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node of some pairs to its component's smallest node, as arrays: no more than nodes."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    other = np.flatnonzero(label != np.arange(len(names)))
+    return names[other], names[label[other]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for each node of edges (a, b), both long.
 

@@ -9,9 +9,8 @@ from quill.llm import common, langid, lines, packing, simhash, toxicity
 
 #: Documents whose language is less sure than this go: hardly more than a guess among few languages, so that short texts stay.
 SURE = 0.3
-#: Near-duplicates: sets of five-word shingles at a Jaccard similarity of 0.8. Of 512 bits of SimHash such a pair differs in
-#: 78 on average, with a deviation of 8; candidates differ in three deviations more at most, and sets themselves decide.
-WORDS, ALIKE, LANES, BANDS, WIDTH, RADIUS = 5, 0.8, 8, 42, 12, 102
+#: Near-duplicates: sets of five-word shingles at a Jaccard similarity of 0.8, candidates by 512 bits of SimHash.
+WORDS, ALIKE, LANES = 5, 0.8, 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id; rows without a doc_id stay, repeated rows become one."""
-    found = simhash.jaccard_classes(docs, WORDS, ALIKE, RADIUS, LANES, BANDS, WIDTH)
+    found = simhash.jaccard_classes(docs, WORDS, ALIKE, LANES)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -1,6 +1,7 @@
 """Near-duplicate classes, document fingerprints and line dedup against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -69,18 +70,58 @@ def test_large_shard_is_dealt_out(spark, monkeypatch):
     low = rng.integers(0, 1 << 20, 500, dtype=np.uint64) << np.uint64(16)
     fps = np.unique(np.concatenate([low, low ^ (np.uint64(1) << rng.integers(20, 60, 500).astype(np.uint64))]))
     nodes = spark.createDataFrame([(int(f.astype(np.int64)), bytearray(f.astype("<u8").tobytes())) for f in fps], "node long, fp binary")
-    got = {r["node"]: r["root"] for r in graph.components(simhash.links(nodes, 1, 4, 16, 3)).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(simhash.block_links(nodes, 1, 4, 16, 3)).collect()}
     ints = [int(f) for f in fps]
     want = plain_classes(ints, 3)
     assert {k: v for k, v in got.items()} == {ints[k]: ints[w] for k, w in enumerate(want) if want.count(w) > 1}
 
 
-def test_vantage_tree_finds_all():
-    rng = np.random.default_rng(4)
-    rows = rng.integers(0, 1 << 12, (700, 1), dtype=np.uint64)
-    tree = simhash.VantageTree(rows, 2)
-    for k in range(0, 700, 13):
-        assert sorted(tree.near(k, np.ones(700, bool)).tolist()) == np.flatnonzero(simhash.hamming(rows, rows[k]) <= 2).tolist()
+def crowd(n, seed=4):
+    """Fingerprints in clusters of all densities: spread ones, close pairs, and one dense group."""
+    rng = np.random.default_rng(seed)
+    spread = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    close = spread[: n // 2].copy()
+    for _ in range(2):
+        close ^= np.uint64(1) << rng.integers(0, 64, len(close)).astype(np.uint64)
+    dense = spread[0] ^ sum(np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64) for _ in range(5))
+    chain = [int(spread[1])]
+    for k in range(60):
+        chain.append(chain[-1] ^ (7 << k))
+    return np.unique(np.concatenate([spread, close, dense, np.array(chain, dtype=np.uint64)]))[:, None]
+
+
+def test_shards_and_their_guests_find_every_pair():
+    """Each pair within the radius meets in a shard of one of the two trees, and the shard's own search finds it."""
+    fps = crowd(700)
+    want = {(i, j) for i, j in zip(*np.nonzero(simhash.hamming(fps[:, None], fps[None]) <= 3), strict=True) if i > j}
+    found, lived, copies = set(), 0, 0
+    for half in simhash.halves(1):
+        root, leaves = simhash.tree(fps[::3], half, 3, 24)
+        assert leaves > 10
+        for _, home, guest in simhash.routed(root, fps):
+            lived, copies = lived + len(home), copies + len(guest)
+            every = np.concatenate([home, guest])
+            for a, b in simhash.shard_links(fps[home], fps[guest], half, 3):
+                found |= {(max(i, j), min(i, j)) for i, j in zip(every[a], every[b], strict=True)}
+    assert found == want and lived == 2 * len(fps) and 0 < copies < 40 * len(fps)
+
+
+def test_vantage_links_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 64)
+    monkeypatch.setattr(simhash, "SAMPLES_A_LEAF", 8)
+    monkeypatch.setattr(simhash, "LEAF", 8)
+    fps = crowd(500, 9)
+    nodes = spark.createDataFrame([(k, bytearray(f.astype("<u8").tobytes())) for k, f in enumerate(fps)], "node long, fp binary").repartition(4)
+    got = {r["node"]: r["root"] for r in graph.components(simhash.vantage_links(nodes, 1, 3)).collect()}
+    want = plain_classes([int(f[0]) for f in fps], 3)
+    assert got == {k: w for k, w in enumerate(want) if want.count(w) > 1}
+
+
+def test_stars_and_forests_agree():
+    rng = random.Random(7)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    assert dict(zip(*(x.tolist() for x in graph.stars(a, b)), strict=True)) == dict(graph.forest(pairs))
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -92,6 +133,43 @@ def test_components_of_a_chain_and_a_star(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+def plain_mark(text, n=3):
+    """128 bits, by voting on each term's hash and on a mix of it."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    runs = [" ".join(words[k : k + n]) for k in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] if words else []
+    top = (1 << 64) - 1
+    out = 0
+    for lane in range(2):
+        hashes = []
+        for r in runs:
+            z = xxhash.xxh64_intdigest(r.encode(), seed=42)
+            if lane:
+                z = z + 0x9E3779B97F4A7C15 & top
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & top
+                z = (z ^ z >> 27) * 0x94D049BB133111EB & top
+                z ^= z >> 31
+            hashes.append(z)
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << 64 * lane
+    return out
+
+
+def test_near_marks(spark):
+    """op7's block tables give the classes that comparing all fingerprints gives, repeated rows and null ids included."""
+    rng = np.random.default_rng(2)
+    prints = [int.from_bytes(rng.bytes(16), "little") for _ in range(60)]
+    prints += [p ^ sum(1 << int(b) for b in rng.choice(128, k, replace=False)) for p in prints[:30] for k in (0, 2, 3, 4)]
+    rows = [(None if k == 7 else 1000 - k, f"{p:032x}", "x") for k, p in enumerate(prints)] + [(1000, f"{prints[0]:032x}", "y")]
+    marks = spark.createDataFrame(rows, "doc_id long, fingerprint string, near_next string").repartition(3)
+    ints = [int(r[1], 16) for r in rows]
+    want = plain_classes(ints, 3)
+    least = {}
+    for w, r in zip(want, rows, strict=True):
+        least[w] = min((x for x in (least.get(w), r[0]) if x is not None), default=None)
+    got = sorted(map(str, (tuple(r) for r in simhash.near_marks(marks, 3).collect())))
+    assert got == sorted(str((*r, least[w])) for w, r in zip(want, rows, strict=True))
+    assert simhash.near_marks(marks.limit(0)).count() == 0
+
+
 def test_document_marks(spark):
     rows = [(2, "abc def ghi jkl " * 20), (None, "first of all"), (3, None), (9, "x" * 41), (10, "abc def ghi jkl " * 20), (11, ""), (4, "é😀" * 30), (20, "last one here now")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "2 as kind", "3 as tie").repartition(3)
@@ -105,6 +183,11 @@ def test_document_marks(spark):
         assert got[doc]["n_chars"] == len(text)
         assert got[doc]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
         assert 0 <= got[doc]["near_edited"] <= 1 and 0 <= got[doc]["near_next"] <= 1
+        for column, t in (("fingerprint", text), ("edited_fingerprint", new)):
+            assert got[doc][column] == f"{plain_mark(t):032x}"
+        for column, t in (("near_edited", new), ("near_next", after)):
+            far = (plain_mark(text) ^ plain_mark(t)).bit_count()
+            assert abs(got[doc][column] - max(0.0, math.cos(math.pi * far / 128))) < 1e-12
     assert got[2]["fingerprint"] == got[10]["fingerprint"] and got[2]["near_edited"] > 0.8
     alone = simhash.document_marks(docs.filter("doc_id = 2")).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0

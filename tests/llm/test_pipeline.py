@@ -38,7 +38,7 @@ def test_near_stage_finds_what_jaccard_finds(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"] for r in stages.one_of_each(spark, docs, "").collect()}
     assert got == {10 * k for k in range(30)} | {10 * k + 4 for k in range(30)}
-    assert simhash.near_classes(docs.limit(0), stages.WORDS, stages.RADIUS, stages.LANES, stages.BANDS, stages.WIDTH).count() == 0
+    assert simhash.jaccard_classes(docs.limit(0), stages.WORDS, stages.ALIKE, stages.LANES).count() == 0
 
 
 def near_pairs(likenesses, pairs, shared=360, seed=5):
@@ -69,6 +69,15 @@ def test_near_stage_at_its_likeness(spark):
     assert len(over) >= 80 and sum(k + 1 not in kept for k in over) >= 0.97 * len(over)
 
 
+def test_tables_grow_with_the_rows():
+    """A front keeps about a thousand rows, and a pair right at the likeness its chance to be found, at any size."""
+    for rows in (0, 1, 10**5, 10**7, 10**9, 10**10):
+        tables, width, radius = simhash.tables_for(rows, 0.8, 512)
+        assert rows / 2**width <= 1100 and width <= 30 and radius == 102
+        assert (1 - (1 - 0.15146) ** width) ** tables <= 0.0021
+    assert simhash.tables_for(10**5, 0.8, 512)[:2] == (42, 12)
+
+
 def test_verified_links_in_blocks(spark, monkeypatch):
     """A candidate class that is dealt out in blocks gives the classes that all pairs give."""
     import random
