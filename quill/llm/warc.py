@@ -107,6 +107,19 @@ def _plain(raw: bytes, at: int) -> tuple[Record, int]:
     return found, end + 4
 
 
+def _inflated(raw: bytes, at: int) -> tuple[bytes, int]:
+    """The gzip member at a place, and where it ends; fed in pieces that grow, so that reading is linear in the archive."""
+    d, view, step, out = zlib.decompressobj(31), memoryview(raw), 4096, []
+    while not d.eof:
+        if at >= len(raw):
+            raise ValueError("member without end")
+        piece = view[at : at + step]
+        out.append(d.decompress(piece))
+        at += len(piece)
+        step = min(2 * step, 1 << 20)
+    return b"".join(out), at - len(d.unused_data)
+
+
 def read(raw: bytes) -> Salvage:
     """All records of an archive of gzip members, plain records, or both.
 
@@ -117,15 +130,11 @@ def read(raw: bytes) -> Salvage:
     while at < len(raw):
         try:
             if raw[at : at + 3] == GZIP:
-                d = zlib.decompressobj(31)
-                text = d.decompress(raw[at:])
-                if not d.eof:
-                    raise ValueError("member without end")
+                text, end = _inflated(raw, at)
                 found, inner = [], 0
                 while inner < len(text):
                     one, inner = _plain(text, inner)
                     found.append(one)
-                end = len(raw) - len(d.unused_data)
             else:
                 one, end = _plain(raw, at)
                 found = [one]

@@ -48,12 +48,46 @@ def test_warc_table(spark):
 
 def test_warc_long_url(spark):
     """A header over 64 KB, also one that grows by its blanks, is read back."""
-    rows = [(1, "http://x/" + "a" * 70_000, "<p>one</p>"), (2, "http://x/" + " " * 30_000, "<p>two</p>"), (3, "http://x/3", "<p>three</p>")]
+    rows = [(1, "http://x/" + "a" * 70_000, "<p>one</p>"), (2, "http://x/" + " " * 30_000, "<p>two</p>"), (3, "http://x/3", "<p>three</p>"), (4, "http://x/" + "ab" * (1 << 19), "<p>four</p>"), (5, "u" * (1 << 20), None)]
     archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.digests(archives).collect()) == [(k, len(h)) for k, _, h in rows]
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.digests(archives).collect()) == [(k, len(h or "")) for k, _, h in rows]
     assert warc.gaps(archives).count() == 0
 
 
+def test_warc_reader_is_linear():
+    """Reading takes a time in proportion to the records, and damage in a table of archives loses only what it hits."""
+    import time
+
+    def archive(n):
+        return b"".join(warc.member(warc.record("response", f"http://x/{k}", k, hashlib.sha256(b"x").hexdigest(), 1, b"x")) for k in range(n))
+
+    took = []
+    for n in (2000, 16_000):
+        raw, t = archive(n), time.perf_counter()
+        assert len(warc.read(raw).records) == n
+        took.append(time.perf_counter() - t)
+    assert took[1] < 24 * took[0]
+
+
+def test_warc_table_with_damage(spark):
+    rows = [(k, f"http://x/{k}", f"page {k} " * 40) for k in range(30)]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), size=4000)
+    held = archives.collect()
+    assert len(held) > 2
+    whole = {r["archive"]: [x.page for x in warc.read(bytes(r["body"])).records] for r in held}
+    broken = []
+    for r in held:
+        raw = bytearray(r["body"])
+        if r["archive"] == 1:
+            raw[len(raw) // 2] ^= 0xFF
+        broken.append((r["part"], r["archive"], raw))
+    again = spark.createDataFrame(broken, archives.schema)
+    got = {r["page_id"] for r in warc.digests(again).collect()}
+    gap = warc.gaps(again).collect()
+    assert len(gap) == 1 and gap[0]["archive"] == 1 and 0 <= gap[0]["first"] < gap[0]["end"]
+    assert {p for ps in whole.values() for p in ps} - got and ({p for ps in whole.values() for p in ps} - got) < set(whole[1])
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 40)
     monkeypatch.setattr(topk, "QUERIES", 3)
@@ -79,6 +113,34 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(few, few.filter("vec_id = 50"), 5).count() == 2
 
 
+def test_top_k_of_repeated_rows_and_shared_ids(spark, monkeypatch):
+    """Copies are ranked as often as they come, a third of all rows too; two vectors of one id are two queries."""
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    rows = [(1, [2, 1])] * 400 + [(50, [1, 0]), (50, [0, 1]), (50, [0, 1])] + [(k, [k % 7, -k]) for k in range(2, 40)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(5)
+    got = sorted(map(tuple, topk.top_k(v, v.filter("vec_id = 50"), 5).collect()))
+    want = []
+    for ask in ([1, 0], [0, 1]):
+        best = sorted((-sum(a * b for a, b in zip(x, ask)), k) for k, x in rows if k != 50)[:5]
+        want += [(50, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_sparse_rows(spark):
+    """Terms that few rows have are scattered, those of most rows accumulated together; sums beyond doubles are exact."""
+    rng = random.Random(6)
+    rows = [(k, [rng.randrange(-9, 9)] + [rng.choice([0, 0, 0, 0, 5]) for _ in range(rng.randrange(20))]) for k in range(300)]
+    for scale in (1, 1 << 26):
+        own = [(k, [x * scale for x in v]) for k, v in rows]
+        v = spark.createDataFrame(own, "vec_id long, v array<long>").repartition(3)
+        got = {}
+        for r in topk.top_k(v, v.filter("vec_id % 50 = 0"), 5).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        for q in range(0, 300, 50):
+            best = sorted((-sum(a * b for a, b in zip(x, own[q][1])), k) for k, x in own if k != q)[:5]
+            assert sorted(got[q]) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = langid.train(docs)
