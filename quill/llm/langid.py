@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quill.llm import common
 from quill.llm.rans import _arrow, _batch
 
-#: The training sample: at most so many texts of each language, and windows of each text, spread evenly over it.
-TEXTS, WINDOWS = 600, 4
+#: The training sample: at most so many texts of each language, and windows of each text, spread evenly over it: so many on average, and at most.
+TEXTS, WINDOWS, PIECES = 600, 4, 64
 #: Bytes of a window, filters of each width, numbers for a byte.
 WINDOW, FILTERS, EMBED = 192, 12, 8
 WIDTHS = (2, 3, 4)
@@ -122,24 +122,44 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def sample(docs: DataFrame, texts: int = TEXTS) -> dict[str, list[str]]:
-    """Of each language the `texts` texts with a letter and of the smallest hashes, or all if there are fewer, however large the others are."""
+def sample(docs: DataFrame, texts: int = TEXTS) -> dict[str, np.ndarray]:
+    """Windows of the texts with a letter and of the smallest hashes, `texts` of each language or all, however large the others are.
+
+    A text gives some windows spread evenly over it, the more the fewer texts its language has, but PIECES at most; they are
+    cut where the text is, so that what reaches the driver is bounded by languages, texts and windows, not by long texts.
+    """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.filter((common.remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
+    common.ship(spark)
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
     # eight deviations over what is wanted, so that a language's draws below its bound are enough
     share = texts + 8 * texts**0.5 + 20
-    limit = spark.createDataFrame([(k, math.ceil(min(1.0, share / n) * (1 << 30))) for k, n in sizes.items()], "lang string, most long")
-    part = rows.join(F.broadcast(limit), "lang").select("lang", "text", "doc_id", "most", draw.alias("d")).filter("d < most")
+    bounds = [(k, math.ceil(min(1.0, share / n) * (1 << 30)), max(1, min(PIECES, WINDOWS * texts // min(n, texts)))) for k, n in sizes.items()]
+    limit = spark.createDataFrame(bounds, "lang string, most long, pieces int")
+    part = rows.join(F.broadcast(limit), "lang").select("lang", "pieces", "text", "doc_id", "most", draw.alias("d")).filter("d < most")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("d", "doc_id", "text"))
+    schema = "lang string, place int, cut binary"
+    arrow = _arrow(schema)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.rows_of(batches):
+            out = []
+            for lang, at, pieces, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                own = windows(text.encode())
+                own = own[np.unique(np.linspace(0, len(own) - 1, min(pieces, len(own))).astype(int))]
+                out.append((lang, at, own.tobytes()))
+            if out:
+                yield _batch(out, arrow)
+
     found: dict[str, list[tuple]] = {}
-    for r in part.withColumn("place", place).filter(F.col("place") <= texts).select("lang", "place", "text").toLocalIterator():
-        found.setdefault(r["lang"], []).append((r["place"], r["text"]))
-    return {k: [t for _, t in sorted(v)] for k, v in found.items()}
+    kept = part.withColumn("place", place).filter(F.col("place") <= texts).select("lang", "place", "pieces", "text")
+    for r in kept.mapInArrow(cut, schema).toLocalIterator():
+        found.setdefault(r["lang"], []).append((r["place"], bytes(r["cut"])))
+    return {k: np.frombuffer(b"".join(raw for _, raw in sorted(v)), np.uint8).reshape(-1, WINDOW) for k, v in found.items()}
 
 
 def train(docs: DataFrame, texts: int = TEXTS, seed: int = 1) -> ByteNet | None:
@@ -151,15 +171,8 @@ def train(docs: DataFrame, texts: int = TEXTS, seed: int = 1) -> ByteNet | None:
     labels = sorted(found)
     if not labels:
         return None
-    x, y = [], []
-    for k, label in enumerate(labels):
-        each = max(1, min(64, WINDOWS * texts // len(found[label])))
-        for t in found[label]:
-            own = windows(t.encode())
-            own = own[np.unique(np.linspace(0, len(own) - 1, min(each, len(own))).astype(int))]
-            x.append(own)
-            y += [k] * len(own)
-    return ByteNet(labels, seed).fit(np.concatenate(x), np.array(y))
+    x = np.concatenate([found[label] for label in labels])
+    return ByteNet(labels, seed).fit(x, np.repeat(np.arange(len(labels)), [len(found[label]) for label in labels]))
 
 
 def predict(texts: list[str | None], net: ByteNet | None, tables: dict, chunk: int = 1024) -> list[tuple[str, float]]:
