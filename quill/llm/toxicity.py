@@ -17,9 +17,21 @@ from quill.llm import common
 #: The training sample: at most so many labelled rows of each class.
 ROWS = {1: 2000, 0: 3000}
 VOTERS, TERMS = 64, 3000
-#: The least log likelihood ratio of the classifier's terms and, about one in a million by chance, of the voters'; the least correlation that counts.
+#: The least log likelihood ratio of the classifier's terms and, about one in a million by chance, of the voters' learned lexicons; the least correlation that counts.
 GAIN, SURE_GAIN, MOVES_ALONG = 6.0, 12.0, 0.3
 PREFIXES = (4, 5, 6)
+#: A longer text of the sample is learned from by pieces spread evenly over it, so many characters together.
+CHARS, PIECES = 24_000, 16
+#: Plain insults, a lexicon for each language, and words by which someone is spoken to.
+INSULTS = {
+    "en": ("idiot", "moron", "stupid", "dumb", "pathetic", "loser", "clown", "trash", "garbage", "scum", "worthless", "disgusting", "fool", "hate", "shut"),
+    "de": ("idiot", "dumm", "blöd", "trottel", "arschloch", "abschaum", "erbärmlich", "widerlich", "versager", "müll", "hasse"),
+    "fr": ("idiot", "imbécile", "stupide", "crétin", "débile", "pathétique", "ordure", "minable", "nul", "dégoûtant", "déteste"),
+    "es": ("idiota", "imbécil", "estúpido", "tonto", "basura", "patético", "inútil", "asco", "payaso", "escoria", "odio"),
+}
+ADDRESSED = ("you", "your", "du", "dein", "ihr", "tu", "ton", "vous", "votre", "tú", "eres", "usted")
+#: Signs and digits that stand for letters.
+STANDS_FOR = str.maketrans("013457@$!", "oieastasi")
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
@@ -63,35 +75,81 @@ def families(found: list[set[str]], names: list[str], most: int) -> list[list[st
     return [t for _, t in out]
 
 
-def votes(found: list[set[str]], words: list[list[str]]) -> np.ndarray:
-    """A voter for each lexicon (1: one of its terms is there), and pattern voters: two lexicons, four of them, none."""
-    v = np.array([[float(any(t in f for t in w)) for w in words] for f in found]).reshape(len(found), len(words))
-    hits = v.sum(axis=1)
-    return np.column_stack([v, hits >= 2, hits >= 4, hits == 0]).astype(float)
+_PLAIN = rf"\b(?:{'|'.join(sorted({re.escape(w) for ws in INSULTS.values() for w in ws}, key=lambda w: (-len(w), w)))})s?\b"
+_SAID = rf"\b(?:{'|'.join(ADDRESSED)})\b"
+_ADDRESS = re.compile(rf"{_SAID}\W+(?:\w+\W+){{0,3}}?{_PLAIN}|{_PLAIN}\W+(?:\w+\W+)?{_SAID}", re.I)
+_HIDDEN = re.compile(r"\b[^\W\d_]*[013457@$!][^\W_]*[^\W\d_]\w*")
+_DRAWN = re.compile(r"\b(?=\w*?(\w)\1\1)\w+")
+_TWICE = re.compile(rf"{_PLAIN}.*{_PLAIN}", re.I | re.S)
+_LOUD = re.compile(rf"{_PLAIN}\W{{0,2}}!", re.I)
+_ANY = re.compile(_PLAIN, re.I)
+
+
+def _hidden(text: str) -> bool:
+    """Whether a word becomes an insult once signs and digits are read as letters, or long-drawn letters as one."""
+    return any(_ANY.match(m[0].lower().translate(STANDS_FOR)) for m in _HIDDEN.finditer(text)) or any(_ANY.match(re.sub(r"(\w)\1\1+", r"\1", m[0].lower())) for m in _DRAWN.finditer(text))
+
+
+def votes(texts: list[str], found: list[set[str]], lexicons: list[list[str]]) -> np.ndarray:
+    """1: toxic, 0: not, -1: abstains; a row a text, a column a voter.
+
+    A lexicon votes 1 if one of its terms is there and abstains otherwise: the given ones by language, then the learned ones.
+    Patterns over the text vote 1 and abstain alike: an insult beside a word of address, a hidden or long-drawn insult, two
+    insults, a loud one. One voter speaks for clean texts, if no learned lexicon has a hit, so that given ones may be outvoted.
+    """
+    given = [{w for w in ws} for ws in INSULTS.values()]
+    out = np.full((len(texts), len(given) + len(lexicons) + 5), -1, dtype=np.int8)
+    for k, (text, f) in enumerate(zip(texts, found, strict=True)):
+        words = set(_WORD.findall(text.lower()))
+        hits = [bool(words & g) for g in given] + [any(t in f for t in w) for w in lexicons]
+        hits += [bool(_ADDRESS.search(text)), _hidden(text), bool(_TWICE.search(text)), bool(_LOUD.search(text))]
+        out[k, : len(hits)][hits] = 1
+        if not any(hits[len(given) : len(given) + len(lexicons)]):
+            out[k, -1] = 0
+    return out
 
 
 class LabelModel:
-    """How often each voter speaks up in either class, and how much voters repeat each other within a class.
+    """How often each voter votes either way in either class, and how much voters repeat each other within a class.
 
-    EM starts at the labels' rates and then sees the votes only. A voter's say is divided by the sum of its correlations,
-    given the class, so that voters that move together don't count as independent.
+    EM starts at the majority of the votes cast, or at given guesses of the rows' classes, and then sees the votes and the
+    classes' balance only: it estimates each voter's rates of 1, 0 and abstaining in either class (its accuracy follows from
+    them), and the voters' correlations given the class. A vote's say in a row is divided by the sum of its voter's
+    correlations with the voters that speak there, so that voters that move together don't count as independent. Abstaining
+    says nothing. As most voters vote one way only, each round holds the posteriors' mean to the balance.
     """
 
-    def __init__(self, v: np.ndarray, y: np.ndarray, rounds: int = 10):
-        self.prior = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-        q = y.astype(float)
+    def __init__(self, v: np.ndarray, balance: float, guess: np.ndarray | None = None, rounds: int = 10):
+        one, zero = (v == 1).astype(float), (v == 0).astype(float)
+        x = one - zero
+        lean = x.sum(axis=1)
+        q = np.where(lean > 0, 0.9, np.where(lean < 0, 0.1, 0.5)) if guess is None else 0.02 + 0.96 * guess
+        balance = min(max(balance, 1e-3), 1 - 1e-3)
         for _ in range(rounds):
-            self.rates = [(v.T @ w + 0.5) / (w.sum() + 1) for w in (1 - q, q)]
-            mean = np.outer(q, self.rates[1]) + np.outer(1 - q, self.rates[0])
-            r = v - mean
-            scale = np.sqrt((r**2).mean(axis=0)) + 1e-6
-            corr = np.abs((r / scale).T @ (r / scale)) / max(1, len(v))
-            self.say = 1 / np.maximum(1, np.where(corr > MOVES_ALONG, corr, 0).sum(axis=0))
-            q = self.posterior(v)
+            self.rates = [[(part.T @ w + 0.2) / (w.sum() + 0.6) for part in (one, zero, 1 - one - zero)] for w in (1 - q, q)]
+            clean, toxic = (r[0] - r[1] for r in self.rates)
+            r = x - np.outer(1 - q, clean) - np.outer(q, toxic)
+            r /= np.sqrt((r**2).mean(axis=0)) + 1e-6
+            self.corr = r.T @ r / max(1, len(v))
+            self.alike = np.where(np.abs(self.corr) > MOVES_ALONG, np.abs(self.corr), 0)
+            np.fill_diagonal(self.alike, 1.0)
+            low, high = -40.0, 40.0
+            for _ in range(50):
+                self.bias = (low + high) / 2
+                q = self.posterior(v)
+                low, high = (self.bias, high) if q.mean() < balance else (low, self.bias)
+        (c1, c0, _), (t1, t0, _) = self.rates
+        self.accuracy = (balance * t1 + (1 - balance) * c0) / (balance * (t1 + t0) + (1 - balance) * (c1 + c0))
+
+    def says(self, v: np.ndarray) -> np.ndarray:
+        """The say of each voter's vote in each row, from 0 (abstains) to 1."""
+        cast = (v >= 0).astype(float)
+        return cast / np.maximum(1, cast @ self.alike)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        b, a = self.rates
-        z = np.log(self.prior / (1 - self.prior)) + v @ (self.say * np.log(a / b)) + (1 - v) @ (self.say * np.log((1 - a) / (1 - b)))
+        says, z = self.says(v), np.full(len(v), self.bias)
+        for kind, a, b in zip((1, 0), *self.rates):  # noqa: B905 - the third rate is abstaining
+            z += ((v == kind) * says) @ np.log(b / a)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -137,9 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None
     """The classifier, from labelled rows whose crc32(doc_id) mod 4 isn't 2; a constant score of 0 if there are none.
 
     The sample is bounded: at most so many rows of each class, by the smallest hashes of doc_id. Of repeated ids the smallest
-    text counts. The terms of its texts give
-    the voters' lexicons, the label model turns votes into posteriors, and those are what the classifier learns from. Rows
-    count so that the classes have their shares among all labelled rows. Labels that aren't 0 or 1, null ids and null texts
+    text counts. The labels give
+    some of the voters' lexicons and the classes' balance, and no more: the label model turns votes into posteriors without them, and those are what
+    the classifier learns from. Rows count so that the classes have their shares among all labelled rows. A text over CHARS
+    characters is learned from by pieces spread over it (scoring reads whole texts). Labels that aren't 0 or 1, null ids and null texts
     teach nothing.
     """
     spark, rows = docs.sparkSession, rows or ROWS
@@ -154,7 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text is not null")
     bound, order = 2 * sum(rows.values()), (draw, "doc_id", "toxic")
     one = text.join(F.broadcast(ids.orderBy(*order).limit(bound)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    sample = one.orderBy(*order).limit(bound)
+    size = F.length("text")
+    spread = F.concat_ws(" ", *(F.substring(F.col("text"), F.floor(size * k / PIECES).cast("int") + 1, F.lit(CHARS // PIECES)) for k in range(PIECES)))
+    sample = one.withColumn("text", F.when(size <= CHARS, F.col("text")).otherwise(spread)).orderBy(*order).limit(bound)
     texts = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.collect())
     y = np.array([t[2] for t in texts], dtype=int)
     if not y.any():
@@ -164,8 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None
     often = {t: t for t, n in often.items() if n >= 3}
     found = [{often[t] for t in terms(text) if t in often} for _, text, _ in texts]
     names = lexicon(found, y, TERMS)
-    v = votes(found, families(found, lexicon(found, y, TERMS, SURE_GAIN), VOTERS))
-    target = LabelModel(v, y).posterior(v)
+    v = votes([text for _, text, _ in texts], found, families(found, lexicon(found, y, TERMS, SURE_GAIN), VOTERS))
+    target = LabelModel(v, float(y.mean()), y).posterior(v)
     total = sum(sizes.values())
     weight = np.where(y == 1, sizes[1] / total / max(1, y.sum()), sizes.get(0, 0) / total / max(1, (1 - y).sum()))
     return Classifier.fit(found, target, weight, names)

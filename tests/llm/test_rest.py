@@ -160,8 +160,11 @@ def test_language_sample_of_unequal_sizes(spark):
     small = spark.range(150_000, 150_012).selectExpr("id as doc_id", "concat('autre texte ', id) as text", "'small' as lang")
     rows = small.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()
     docs = large.union(small)
+    # each of these texts is one window
     assert {k: len(v) for k, v in langid.sample(docs, 9).items()} == {"l0": 9, "l1": 9, "l2": 9, "small": min(9, rows)}
     assert langid.train(docs, 9).labels == ["l0", "l1", "l2", "small"]
+    two = spark.range(60_040).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id < 60000, 'much', 'little') as lang")
+    assert langid.train(two, 6).labels == ["little", "much"]
 
 
 def test_network_scores_as_it_trains():
@@ -197,11 +200,52 @@ def test_toxicity_with_a_repeated_id(spark, monkeypatch):
     assert texts[0] == texts[1] and plain.weights == hot.weights and plain.bias == hot.bias
 
 
-def test_label_model_discounts_copies():
+def test_label_model_recovers_voters_from_votes_alone():
+    """Rates of voters that abstain, and which of them repeat each other, without a label."""
     rng = np.random.default_rng(1)
-    y = rng.random(2000) < 0.3
-    one = np.where(rng.random(2000) < 0.9, y, ~y)
-    other = np.where(rng.random(2000) < 0.7, y, ~y)
-    v = np.column_stack([one, other, other, other]).astype(float)
-    model = toxicity.LabelModel(v, y.astype(int))
-    assert model.say[0] > 0.75 and model.say[1] < model.say[0] / 2
+    y = rng.random(6000) < 0.3
+    speaks, right = [0.5, 0.7, 0.6, 0.8], [0.9, 0.75, 0.8, 0.85]
+    cols = [np.where(rng.random(6000) < s, np.where(rng.random(6000) < r, y, ~y), -1) for s, r in zip(speaks, right, strict=True)]
+    v = np.column_stack([*cols, cols[1], cols[1]]).astype(np.int8)
+    model = toxicity.LabelModel(v, 0.3)
+    assert np.allclose(model.accuracy, [*right, right[1], right[1]], atol=0.07)
+    assert model.corr[1, 4] > 0.9 and model.corr[1, 5] > 0.9 and abs(model.corr[0, 1]) < 0.2
+    says = model.says(np.array([[1, 1, 1, 1, 1, 1], [1, 1, 1, 1, -1, -1]], dtype=np.int8))
+    assert says[0, 0] > 0.75 and says[0, 1] < 0.4 and says[1, 1] > 0.75 and says[1, 5] == 0
+    assert ((model.posterior(v) > 0.5) == y).mean() > 0.85
+    assert np.allclose(model.posterior(np.full((1, 6), -1, dtype=np.int8)), model.posterior(np.full((3, 6), -1, dtype=np.int8))[:1])
+
+
+def test_voters_over_texts():
+    texts = ["You are such an idiot, really", "st0p it, 1d10t!", "stuuupid words", "a calm day by the sea", "you may come in", "MORON! what a loser", ""]
+    found = [toxicity.terms(t) for t in texts]
+    v = toxicity.votes(texts, found, [["sea"]])
+    english, learned, address, hidden, twice, loud, clean = v[:, 0], v[:, 4], v[:, 5], v[:, 6], v[:, 7], v[:, 8], v[:, 9]
+    assert english.tolist() == [1, -1, -1, -1, -1, 1, -1]
+    assert learned.tolist() == [-1, -1, -1, 1, -1, -1, -1]
+    assert address.tolist() == [1, -1, -1, -1, -1, -1, -1]
+    assert hidden.tolist() == [-1, 1, 1, -1, -1, -1, -1]
+    assert twice.tolist() == [-1, -1, -1, -1, -1, 1, -1] and loud.tolist() == [-1, -1, -1, -1, -1, 1, -1]
+    assert clean.tolist() == [0, 0, 0, -1, 0, 0, 0]
+
+
+def test_toxicity_odd_rows(spark):
+    """Repeated rows, clashing columns, an empty table, and texts of a sample beyond its characters."""
+    docs = spark.range(300).selectExpr("id as doc_id", "concat(if(id % 2 = 0, repeat('vile hateful words ', 4000), 'kind calm words '), id) as text", "9.0 as toxic_score", "1 as toxic")
+    labels = spark.range(300).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic")
+    model = toxicity.train(docs, labels, {1: 60, 0: 60})
+    got = toxicity.rate(docs.union(docs), model)
+    assert got.columns == ["doc_id", "text", "toxic", "toxic_score"] and got.count() == 600
+    assert got.filter("toxic_score >= 0.3").selectExpr("sum(doc_id % 2)", "count(*)").first() == (0, 300)
+    assert toxicity.rate(docs.limit(0), model).count() == 0
+
+
+def test_language_odd_rows(spark):
+    """Repeated rows and a clashing lang_pred; no text of the sample reaches the driver whole."""
+    docs = spark.range(80).selectExpr("id as doc_id", "repeat(if(id % 2 = 0, 'the words and of ', 'les mots et de la '), 3000) as text", "if(id % 2 = 0, 'en', 'fr') as lang", "'x' as lang_pred")
+    picked = langid.sample(docs, 20)
+    assert set(picked) == {"en", "fr"} and all(0 < len(x) <= 20 * langid.PIECES * 2 and x.shape[1] == langid.WINDOW for x in picked.values())
+    net = langid.train(docs, 20)
+    got = langid.identify(docs.union(docs), net)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "lang_score"] and got.count() == 160
+    assert got.filter("lang_pred = lang").count() == 160 and langid.identify(docs.limit(0), net).count() == 0
