@@ -231,8 +231,44 @@ def test_line_dedup(spark):
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {rng.random()} line" for _ in range(rng.randint(0, 14)))) for k in range(60)]
     rows += [(60, None), (61, ""), (62, rows[3][1]), (63, "one long line of words " * 5), (64, "tail\n" + "one long line of words " * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "cast(length(text) as long) as n_chars", "1 as start", "2 as __x", "3 as high").repartition(3)
-    for least in (4, 7, 12):
-        got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.remove_repeats(docs, least).collect()}
+    shorter = [len((t or "").split("\n")) for t in plain_lines(rows, 0)]
+    for least in (0, 1, 4, 7, 12):
+        found = lines.remove_repeats(docs, least).collect()
         want = plain_lines(rows, least)
-        assert got == {k: (t, None if t is None else len(t)) for (k, _), t in zip(rows, want, strict=True)}
+        assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in found} == {k: (t, None if t is None else len(t)) for (k, _), t in zip(rows, want, strict=True)}
+        for r in found:
+            whole, left = rows[r["doc_id"]][1], shorter[r["doc_id"]]
+            if whole is not None and r["n_repeated"] < r["n_lines"]:
+                assert r["n_repeated"] == r["n_lines"] - left
     assert lines.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_suffix_ranks_are_the_suffix_array(spark):
+    """At each depth: who stands elsewhere too, who is equal, and the order of all suffixes, by comparing them."""
+    rng = random.Random(3)
+    texts_ = [[rng.randrange(3) for _ in range(rng.randint(1, 12))] for _ in range(25)]
+    ids = {v: (rng.randrange(-99, 99), rng.randrange(-99, 99)) for v in range(3)}
+    rows = [(1, d, 0, i, len(t), *ids[v]) for d, t in enumerate(texts_) for i, v in enumerate(t)]
+    table = spark.createDataFrame(rows, "known int, doc long, tie long, i int, n int, high long, low long").repartition(3)
+    levels = lines.suffix_ranks(table, 8)
+    assert len(levels) == 4
+    for k, (level, _) in enumerate(levels):
+        prefix = {(d, i): [ids[v] for v in t[i : i + 2**k]] for d, t in enumerate(texts_) for i in range(len(t))}
+        often = {p: sum(x == q for q in prefix.values()) for p, x in prefix.items()}
+        got = {(r["doc"], r["i"]): r["rank"] for r in level.collect()}
+        assert set(got) == {p for p, n in often.items() if n > 1}
+        ranks = sorted(set(got.values()))
+        order = sorted({tuple(prefix[p]) for p in got})
+        assert {p: ranks.index(r) for p, r in got.items()} == {p: order.index(tuple(prefix[p])) for p in got}
+
+
+def test_line_dedup_odd_rows(spark):
+    """Null ids come first, repeated rows share a result, one doc_id may have several texts, and a third of all rows may be equal."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, long), (5, long + "\nown"), (5, "other\n" + long), (5, "other\n" + long), (7, None), (None, None)] + [(9, long)] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as n_lines", "3 as known", "4 as rank").repartition(4)
+    found = lines.remove_repeats(docs)
+    assert found.columns == ["doc_id", "text", "known", "rank", "n_lines", "n_removed", "n_repeated"]
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"], r["n_repeated"]) for r in found.collect()), key=str)
+    want = [(None, long, 0, 0), (5, "own", 1, 1), (5, "other", 1, 1), (5, "other", 1, 1), (7, None, 0, 0), (None, None, 0, 0)] + [(9, "", 1, 1)] * 12
+    assert got == sorted(want, key=str)
