@@ -201,19 +201,21 @@ def theme(text: Column) -> Column:
 
 
 def _jaccard(a: Column, b: Column) -> Column:
-    x, y = (F.array_distinct(F.transform(c, F.lower)) for c in (a, b))
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / both)
+    """Of two arrays without repeats; 0 where both are empty."""
+    shared = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - shared
+    return F.when(both == 0, 0.0).otherwise(shared / both)
 
 
-def compared(d: DataFrame, comparable: int = 40) -> DataFrame:
-    """doc_id, other and score of each analysed document with the newest comparable ones but itself.
+def compared(d: DataFrame, comparable: DataFrame) -> DataFrame:
+    """doc_id, other and score of each analysed document with each of the comparable ones but itself.
 
-    The comparable ones' fingerprints are one row, of as many entries as the parameter says; every document meets them in its
+    comparable is a bounded number of analysed documents. Their fingerprints are one row, which every document meets in its
     own row, so the documents aren't shuffled.
     """
-    side = ["doc_id", "keywords", "codes", "labels", "kind", "issuer"]
-    newest = d.select(*side).orderBy(F.desc("doc_id")).limit(comparable).agg(F.collect_list(F.struct(*side)).alias("others"))
+    low = lambda c: F.array_distinct(F.transform(c, F.lower)).alias(c)
+    side = lambda x: x.select("doc_id", low("keywords"), low("codes"), low("labels"), "kind", "issuer")
+    others = side(comparable).agg(F.collect_list(F.struct("*")).alias("others"))
     same = lambda a, b: F.when((F.coalesce(a, F.lit("")) != "") & (a == b), 1).otherwise(0)
     total = lambda o: (
         _jaccard(F.col("keywords"), o["keywords"]) * 45
@@ -223,4 +225,4 @@ def compared(d: DataFrame, comparable: int = 40) -> DataFrame:
         + same(F.col("issuer"), o["issuer"]) * 4
     )
     pairs = F.transform(F.filter("others", lambda o: o["doc_id"] != F.col("doc_id")), lambda o: F.struct(o["doc_id"].alias("other"), F.floor(total(o) + 0.5).cast("long").alias("score")))
-    return d.select(*side).crossJoin(F.broadcast(newest)).select("doc_id", F.inline_outer(pairs)).filter("other is not null")
+    return side(d).crossJoin(F.broadcast(others)).select("doc_id", F.inline_outer(pairs)).filter("other is not null")

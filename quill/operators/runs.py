@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gaps(runs: DataFrame, at: str, by: list[str] | None = None, bucket: int = 86_400) -> DataFrame:
+def gaps(runs: DataFrame, at: str, by: list[str] | None = None, bucket: int = 86_400, then: list[str] | None = None) -> DataFrame:
     """runs with gap: seconds since the run before. at is in seconds.
 
     One window over all runs would be one task's work. Runs are windowed in buckets of time instead, and a bucket's first run
@@ -14,11 +14,11 @@ def gaps(runs: DataFrame, at: str, by: list[str] | None = None, bucket: int = 86
     """
     by = by or []
     b = F.floor(F.col(at) / bucket)
-    inner = Window.partitionBy(*by, "__b").orderBy(at)
+    inner = Window.partitionBy(*by, "__b").orderBy(at, *(then or []))
     rows = runs.withColumn("__b", b).withColumn("__before", F.lag(at).over(inner))
     edges = rows.groupBy(*by, "__b").agg(F.max(at).alias("__last"))
     edges = edges.withColumn("__earlier", F.lag("__last").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("__b"))).drop("__last")
-    return rows.join(edges, [*by, "__b"]).withColumn("gap", F.col(at) - F.coalesce("__before", "__earlier")).drop("__b", "__before", "__earlier")
+    return rows.join(edges, [*by, "__b"], "left").withColumn("gap", F.col(at) - F.coalesce("__before", "__earlier")).drop("__b", "__before", "__earlier")
 
 
 def streaks(df: DataFrame, by: list[str], at: str, bad: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quill.functions import industry as V
 from quill.operators import analysis as A
+from quill.operators.joins import page
 from quill.plans.base import query
 from quill.plans.triage import TITLES
 from quill.sources.tables import Tables
@@ -34,6 +35,8 @@ SENTENCES = (
     "新能源车与充电网络同步规划，水利和供水设施另行安排。",
 )
 LEVELS = ("国家级", "省级", "")
+#: A policy is compared with so many of the newest.
+COMPARABLE = 40
 
 
 def briefs(t: Tables) -> DataFrame:
@@ -106,7 +109,7 @@ f1 AS (SELECT doc_id, list(x ORDER BY o)[1:20] AS keywords FROM (SELECT doc_id,
 f2 AS (SELECT doc_id, list(x ORDER BY o)[1:16] AS labels FROM (SELECT doc_id, x, min(o) AS o FROM u2 GROUP BY ALL) GROUP BY doc_id),
 f AS (SELECT p.doc_id, coalesce(keywords, []) AS keywords, coalesce(labels, []) AS labels, coalesce((SELECT list(code ORDER BY rank) FROM rr WHERE rr.doc_id = p.doc_id), []) AS codes, issuer,
   coalesce(category, CASE {' '.join(f"WHEN regexp_matches(whole, '{x}') THEN '{name}'" for x, name in V.CATEGORIES)} ELSE '政策文件' END) AS kind FROM p LEFT JOIN f1 USING (doc_id) LEFT JOIN f2 USING (doc_id)),
-new AS (SELECT * FROM f ORDER BY doc_id DESC LIMIT 40),
+new AS (SELECT * FROM f ORDER BY doc_id DESC LIMIT {COMPARABLE}),
 j AS (SELECT f.doc_id, new.doc_id AS other,
   list_transform([[f.keywords, new.keywords], [f.codes, new.codes], [f.labels, new.labels]], lambda q: len(list_distinct(list_intersect(list_transform(q[1], lambda w: lower(w)), list_transform(q[2], lambda w: lower(w))))) / nullif(len(list_distinct(list_concat(list_transform(q[1], lambda w: lower(w)), list_transform(q[2], lambda w: lower(w))))), 0)) AS x,
   CASE WHEN f.kind <> '' AND f.kind = new.kind THEN 6 ELSE 0 END + CASE WHEN f.issuer <> '' AND f.issuer = new.issuer THEN 4 ELSE 0 END AS same FROM f JOIN new ON f.doc_id <> new.doc_id),
@@ -152,7 +155,8 @@ def policy_fingerprints(t: Tables) -> DataFrame:
 @query("comparable_policies", _SQL + "SELECT doc_id, 'similar' AS side, CAST(rank AS INTEGER) AS rank, other, score FROM near UNION ALL SELECT doc_id, 'contrast', CAST(rank AS INTEGER), other, score FROM far")
 def comparable_policies(t: Tables) -> DataFrame:
     """The five most like a policy of the comparable ones, and the five least like it of the rest: a document's 40 pairs are ranked."""
-    pairs = A.compared(analysed(t))
+    newest = page(t.raw("documents").select("doc_id"), [F.desc("doc_id")], COMPARABLE).select("doc_id")
+    pairs = A.compared(analysed(t), A.with_analysis(briefs(t).join(F.broadcast(newest), "doc_id", "left_semi")))
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "other"))
     p = pairs.withColumn("k", best).withColumn("near", (F.col("k") <= 5) & (F.col("score") >= 18))
     worst = F.row_number().over(Window.partitionBy("doc_id", "near").orderBy("score", "other"))

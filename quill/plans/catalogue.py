@@ -17,16 +17,24 @@ _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
 
 @query(
     "registry_match",
-    f"""WITH p AS (SELECT page_id, url, {_HOST} AS host FROM pages), reg AS (SELECT host, min(page_id) AS entry, arg_min(url, page_id) AS base FROM p WHERE page_id % 3 = 0 GROUP BY host),
+    f"""WITH p AS (SELECT page_id, url, {_HOST} AS host FROM pages), reg AS (SELECT host, url AS base, min(page_id) AS entry FROM p WHERE page_id % 3 = 0 GROUP BY ALL), wide AS (SELECT host, min(entry) AS entry FROM reg GROUP BY host),
   pre AS (SELECT p.page_id, min(r.entry) AS entry FROM p JOIN reg r ON p.host = r.host AND starts_with(p.url, r.base) GROUP BY 1)
-  SELECT p.page_id, coalesce(pre.entry, reg.entry) AS entry, CASE WHEN pre.entry IS NOT NULL THEN 'prefix' WHEN reg.entry IS NOT NULL THEN 'host' ELSE 'none' END AS how FROM p LEFT JOIN pre USING (page_id) LEFT JOIN reg ON reg.host = p.host""",
+  SELECT p.page_id, coalesce(pre.entry, wide.entry) AS entry, CASE WHEN pre.entry IS NOT NULL THEN 'prefix' WHEN wide.entry IS NOT NULL THEN 'host' ELSE 'none' END AS how FROM p LEFT JOIN pre USING (page_id) LEFT JOIN wide ON wide.host = p.host""",
 )
 def registry_match(t: Tables) -> DataFrame:
-    """A page's registered source: by the address it starts with, else by host. A prefix has the page's host, so one equi-join on the host finds both."""
+    """A page's registered source: by an address that it starts with, else by host.
+
+    All addresses of a host count. A page meets them by its own beginnings of the lengths that its host's addresses have, so
+    the join is on equal texts, and a host with very many addresses is spread by them.
+    """
     p = t.raw("pages").select("page_id", "url", I.host(F.col("url")).alias("host"))
-    reg = p.filter("page_id % 3 = 0").groupBy("host").agg(F.min("page_id").alias("entry"), F.min_by("url", "page_id").alias("base"))
-    how = F.when(F.col("entry").isNull(), "none").when(F.startswith("url", F.col("base")), "prefix").otherwise("host")
-    return p.join(reg, "host", "left").select("page_id", "entry", how.alias("how"))
+    reg = p.filter("page_id % 3 = 0").groupBy("host", F.col("url").alias("base")).agg(F.min("page_id").alias("entry"))
+    hosts = reg.groupBy("host").agg(F.min("entry").alias("any"), F.collect_set(F.length("base")).alias("sizes"))
+    known = p.join(hosts, "host", "left")
+    begins = known.select("page_id", "host", "url", F.explode("sizes").alias("size")).filter("size <= length(url)").select("page_id", "host", F.left("url", F.col("size")).alias("base"))
+    found = begins.join(reg, ["host", "base"]).groupBy("page_id").agg(F.min("entry").alias("entry"))
+    how = F.when(F.col("entry").isNotNull(), "prefix").when(F.col("any").isNotNull(), "host").otherwise("none")
+    return known.select("page_id", "any").join(found, "page_id", "left").select("page_id", F.coalesce("entry", "any").alias("entry"), how.alias("how"))
 
 
 @query(
@@ -69,26 +77,6 @@ def company_candidates(t: Tables) -> DataFrame:
     return companies.candidates(hits.select("doc_id", "rank", "place", F.concat(F.lit("c"), (F.col("r") * 2 + F.col("place")).cast("string")).alias("company"), (F.col("score") + F.col("place")).alias("relevance"), (90 - F.col("rank") * 2).cast("long").alias("certainty")), 6)
 
 
-@query(
-    "report_payload",
-    _RULES + """, n AS (SELECT doc_id, count(*) AS rules, max(score) AS best FROM s GROUP BY 1)
-  SELECT d.doc_id, coalesce(rules, 0) AS rules, CAST(coalesce(least(5, rules) - 1, 0) AS BIGINT) AS edges, CAST(least(90, 40 + coalesce(least(22, best), 0) + 3 * coalesce(rules, 0)) AS BIGINT) AS confidence, CASE WHEN coalesce(rules, 0) = 0 THEN 'light' ELSE 'full' END AS kind FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
-)
-def report_payload(t: Tables) -> DataFrame:
-    """What a document's report would hold, for every document, with rules or without."""
-    s = textrules.rule_scores(t.raw("documents"), _VOCAB).groupBy("doc_id").agg(F.count("*").alias("rules"), F.max("score").alias("best"))
-    j = t.raw("documents").select("doc_id").join(s, "doc_id", "left")
-    n, best = F.coalesce("rules", F.lit(0)), F.coalesce(F.least(F.lit(22), "best"), F.lit(0))
-    return j.select("doc_id", n.alias("rules"), F.coalesce(F.least(F.lit(5), "rules") - 1, F.lit(0)).cast("long").alias("edges"), F.least(F.lit(90), 40 + best + 3 * n).cast("long").alias("confidence"), F.when(n == 0, "light").otherwise("full").alias("kind"))
-
-
-@query("theme", r"SELECT doc_id, CASE WHEN regexp_matches(low, 'license|licensed') THEN 'rights' WHEN regexp_matches(low, 'idiot|scum|trash') THEN 'conduct' WHEN lang = 'de' AND contains(low, 'schaft') THEN 'economy' WHEN n_chars < 200 THEN 'note' ELSE 'general' END AS theme FROM (SELECT *, lower(text || ' ' || source || ' ' || lang) AS low FROM documents)")
-def theme(t: Tables) -> DataFrame:
-    d = t.raw("documents").withColumn("low", F.lower(F.concat_ws(" ", "text", "source", "lang")))
-    kind = F.when(F.col("low").rlike("license|licensed"), "rights").when(F.col("low").rlike("idiot|scum|trash"), "conduct").when((F.col("lang") == "de") & F.contains("low", F.lit("schaft")), "economy")
-    return d.select("doc_id", kind.when(F.col("n_chars") < 200, "note").otherwise("general").alias("theme"))
-
-
 _META = "CASE event_id % 4 WHEN 0 THEN '{\"pageTitle\": \"a' || k || '\"}' WHEN 1 THEN '{\"data\": {\"page_title\": \"b' || k || '\"}}' WHEN 2 THEN '{\"payload\": {\"report\": {\"pageTitle\": \"c\"}}}' ELSE '{}' END"
 
 
@@ -190,24 +178,29 @@ def crawl_counts(t: Tables) -> DataFrame:
     return d.agg(F.sum("n").alias("collected"), F.count("*").alias("canonical"), F.sum(F.col("n") - 1).alias("duplicates"), F.count_if(F.col("keep") % 3 == 0).alias("planned"))
 
 
-@query("contrast_policies", """WITH c AS (SELECT doc_id AS b, lang, source FROM documents ORDER BY doc_id DESC LIMIT 40), s AS (SELECT d.doc_id AS a, b, CASE WHEN d.lang = c.lang THEN 6 ELSE 0 END + CASE WHEN d.source = c.source THEN 4 ELSE 0 END AS score FROM documents d JOIN c ON d.doc_id <> c.b)
-  SELECT a, b, CAST(score AS INTEGER) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score, b) AS r FROM s) WHERE r <= 5""")
-def contrast_policies(t: Tables) -> DataFrame:
-    """Of the forty newest documents, the five that each document is least like: one row of forty goes to all tasks, and each row sorts its own array."""
-    d = t.raw("documents").select("doc_id", "lang", "source")
-    newest = page(d, [F.desc("doc_id")], 40).agg(F.collect_list(F.struct("doc_id", "lang", "source")).alias("newest"))
-    score = lambda c: F.when(c["lang"] == F.col("lang"), 6).otherwise(0) + F.when(c["source"] == F.col("source"), 4).otherwise(0)
-    each = F.transform(F.filter("newest", lambda c: c["doc_id"] != F.col("doc_id")), lambda c: F.struct(score(c).alias("score"), c["doc_id"].alias("b")))
-    best = F.slice(F.array_sort(each), 1, 5)
-    out = d.join(F.broadcast(newest)).select(F.col("doc_id").alias("a"), F.posexplode(best).alias("rank", "c"))
-    return out.select("a", "c.b", "c.score", (F.col("rank") + 1).alias("rank"))
+_NEAR = "CASE WHEN least(length(k), length(y[1])) < 80 THEN k = y[1] ELSE contains(k, y[1]) OR contains(y[1], k) OR (left(k, 240) = left(y[1], 240) AND right(k, 240) = right(y[1], 240)) END"
 
 
-@query("composed_evidence", "WITH w AS (SELECT conv_id, turn, text, lower(trim(substr(text, 1, 20))) AS title FROM conversations), f AS (SELECT conv_id, title, min(turn) AS turn FROM w GROUP BY ALL) SELECT conv_id, count(*) AS parts, min(turn) AS first FROM f GROUP BY conv_id")
+@query(
+    "composed_evidence",
+    f"""WITH w AS (SELECT conv_id, turn, text, lower(trim(substr(text, 1, 20))) AS title FROM conversations), f AS (SELECT conv_id, title, min(turn) AS turn, arg_min(text, turn) AS text FROM w WHERE text IS NOT NULL GROUP BY ALL),
+  g AS (SELECT conv_id, min(turn) AS first, list(text ORDER BY turn) AS texts FROM f GROUP BY conv_id),
+  c AS (SELECT conv_id, first, list_reduce(list_transform(texts, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: {_NEAR})) > 0 THEN acc ELSE list_concat(acc, y) END) AS kept FROM g)
+  SELECT conv_id, first, len(kept) AS parts, sha256(array_to_string(kept, chr(10))) AS digest FROM c""",
+)
 def composed_evidence(t: Tables) -> DataFrame:
-    """The first text of each logical title stays."""
-    w = t.raw("conversations").select("conv_id", "turn", F.lower(F.trim(F.substring("text", 1, 20))).alias("title"))
-    return w.groupBy("conv_id", "title").agg(F.min("turn").alias("turn")).groupBy("conv_id").agg(F.count("*").alias("parts"), F.min("turn").alias("first"))
+    """The first text of each logical title, but for those that nearly repeat one before: equal below 80 characters, else contained or alike at both ends.
+
+    A group is one conversation; its texts are folded in order within their row.
+    """
+    w = t.raw("conversations").filter("text is not null").select("conv_id", "turn", "text", F.lower(F.trim(F.substring("text", 1, 20))).alias("title"))
+    f = w.groupBy("conv_id", "title").agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("text"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    g = f.groupBy("conv_id").agg(F.min("turn").alias("first"), texts.alias("texts"))
+    ends = lambda a, b: (F.left(a, F.lit(240)) == F.left(b, F.lit(240))) & (F.right(a, F.lit(240)) == F.right(b, F.lit(240)))
+    near = lambda a, b: F.when(F.least(F.length(a), F.length(b)) < 80, a == b).otherwise(F.contains(a, b) | F.contains(b, a) | ends(a, b))
+    kept = F.aggregate("texts", F.array().cast("array<string>"), lambda acc, y: F.when(F.exists(acc, lambda k: near(k, y)), acc).otherwise(F.concat(acc, F.array(y))))
+    return g.withColumn("kept", kept).select("conv_id", "first", F.size("kept").cast("long").alias("parts"), F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("digest"))
 
 
 @query("row_policy", with_sql("policies", "queue") + " SELECT policy_no FROM queue WHERE complete AND NOT duplicate OR issuer = 'src3'")

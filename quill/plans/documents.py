@@ -169,34 +169,6 @@ _SCORE = lambda r: "(" + " + ".join(f"(CASE WHEN contains(low, '{w}') THEN 12 +
 _RULES = "WITH d AS (SELECT doc_id, lower(text) AS low, text, lang, source FROM documents), r AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r.code}' AS rule, '{r.section}' AS section, CAST({_SCORE(r)} AS BIGINT) AS score FROM d" for r in _VOCAB) + "), s AS (SELECT * FROM r WHERE score > 0)"
 
 
-@query("keyword_scores", _RULES + " SELECT doc_id, rule, score FROM s")
-def keyword_scores(t: Tables) -> DataFrame:
-    return textrules.rule_scores(t.raw("documents"), _VOCAB).select("doc_id", "rule", "score")
-
-
-@query("chain_nodes", _RULES + " SELECT doc_id, rule, CAST(rank AS INTEGER) AS rank, CAST(62 + least(22, score) - 3 * (rank - 1) AS BIGINT) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rule) AS rank FROM s) WHERE rank <= 8")
-def chain_nodes(t: Tables) -> DataFrame:
-    return textrules.nodes(textrules.rule_scores(t.raw("documents"), _VOCAB)).select("doc_id", "rule", "rank", "confidence")
-
-
-_PLACE = "CASE section WHEN 'upstream' THEN 0 WHEN 'midstream' THEN 1 WHEN 'downstream' THEN 2 ELSE 3 END"
-
-
-@query(
-    "chain_edges",
-    _RULES + f""", n AS (SELECT *, CAST(62 + least(22, score) - 3 * (rank - 1) AS BIGINT) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rule) AS rank FROM s) WHERE rank <= 8),
-  e AS (SELECT doc_id, rule AS source, lead(rule) OVER w AS target, confidence AS a, lead(confidence) OVER w AS b, lead(section) OVER w AS ts, row_number() OVER w - 1 AS pos FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY {_PLACE}, rank))
-  SELECT doc_id, source, target, CASE WHEN ts = 'risk' THEN 'risk' WHEN (a + b) // 2 >= 75 THEN 'strong' ELSE 'medium' END AS kind, (a + b) // 2 - 2 * pos AS confidence FROM e WHERE target IS NOT NULL""",
-)
-def chain_edges(t: Tables) -> DataFrame:
-    return textrules.edges(textrules.nodes(textrules.rule_scores(t.raw("documents"), _VOCAB)))
-
-
-@query("clauses")
-def clauses(t: Tables) -> DataFrame:
-    return textrules.clauses(t.raw("documents"), _VOCAB).select("doc_id", "pos", "score", "clause")
-
-
 @query(
     "sentence_counts",
     "SELECT doc_id, count(*) AS sentences, max(length(s)) AS longest FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents) GROUP BY doc_id",
@@ -208,32 +180,23 @@ def sentence_counts(t: Tables) -> DataFrame:
 
 
 
-@query(
-    "similar_policies",
-    """WITH w AS (SELECT doc_id, lang, source, word, min(pos) AS pos FROM (SELECT doc_id, lang, source, unnest(string_split(lower(text), ' ')) AS word, generate_subscripts(string_split(lower(text), ' '), 1) AS pos FROM documents)
-      WHERE length(word) BETWEEN 4 AND 6 GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM w) WHERE r <= 20),
-    n AS (SELECT doc_id, lang, source, count(*) AS size FROM k GROUP BY ALL), c AS (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 40),
-    i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.word = b.word AND b.doc_id IN (SELECT doc_id FROM c) AND a.doc_id <> b.doc_id GROUP BY ALL),
-    s AS (SELECT a, b, CAST(floor(1000 * (80.0 * shared / (x.size + y.size - shared) + CASE WHEN x.lang = y.lang THEN 6 ELSE 0 END + CASE WHEN x.source = y.source THEN 4 ELSE 0 END) + 0.0001) AS BIGINT) AS score FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)
-    SELECT a, b, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s WHERE score >= 18000) WHERE rank <= 5""",
-)
-def similar_policies(t: Tables) -> DataFrame:
-    return textrules.similar(t.raw("documents"))
-
+# What error pages say, and the tags by which a page is known as HTML.
+_ERRORS = "信息模板页面配置实体不能为空|access denied|forbidden|request blocked|页面不存在|系统繁忙|服务异常|出错了|验证码|安全验证"
+_TAGS = "<(?:html|body|article|main|div|p|title)\\b"
+# End of fixed values.
+_BROKEN = "CASE page_id % 9 WHEN 3 THEN '<p>Access  Denied</p>' || html WHEN 5 THEN '页面不存在' || html WHEN 6 THEN replace(html, '<', '(') WHEN 7 THEN NULL ELSE html END"
 
-@query("confidence_estimate", "SELECT doc_id, CAST(least(90, 40 + CASE WHEN n_chars >= 280 THEN 15 ELSE 0 END + CASE WHEN n_chars >= 2000 THEN 10 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 10 ELSE 0 END + CASE WHEN source IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN contains(lower(text), 'the ') THEN 10 ELSE 0 END) AS BIGINT) AS confidence, CASE WHEN n_chars >= 2000 THEN 'broad' WHEN n_chars >= 280 THEN 'sector' ELSE 'local' END AS scope FROM documents")
-def confidence_estimate(t: Tables) -> DataFrame:
-    n = F.col("n_chars")
-    plus = lambda c, k: F.when(c, k).otherwise(0)
-    total = F.lit(40) + plus(n >= 280, 15) + plus(n >= 2000, 10) + plus(F.col("text").rlike("[0-9]"), 10) + plus(F.col("source").isNotNull(), 10) + plus(F.contains(F.lower("text"), F.lit("the ")), 10)
-    return t.raw("documents").select("doc_id", F.least(F.lit(90), total).cast("long").alias("confidence"), F.when(n >= 2000, "broad").when(n >= 280, "sector").otherwise("local").alias("scope"))
 
-
-@query("page_validity", "SELECT page_id, CASE WHEN strlen(html) < 200 THEN 'short' WHEN regexp_matches(html, '(?i)access denied|<title>\\s*(403|404|error)') THEN 'error_page' WHEN NOT regexp_matches(html, '(?i)<(html|body|article|p|div)[\\s>]') THEN 'no_html' ELSE 'valid' END AS verdict FROM pages")
+@query(
+    "page_validity",
+    f"WITH h AS (SELECT page_id, coalesce({_BROKEN}, '') AS html FROM pages) SELECT page_id, CASE WHEN strlen(html) < 200 THEN 'short' WHEN regexp_matches(substr(trim(regexp_replace(html, '\\s+', ' ', 'g')), 1, 2000), '(?i){_ERRORS}') THEN 'error_page' WHEN NOT regexp_matches(html, '(?i){_TAGS}') THEN 'no_html' ELSE 'valid' END AS verdict FROM h",
+)
 def page_validity(t: Tables) -> DataFrame:
-    h = F.col("html")
-    verdict = F.when(F.octet_length(h) < 200, "short").when(h.rlike(r"(?i)access denied|<title>\s*(403|404|error)"), "error_page").when(~h.rlike(r"(?i)<(html|body|article|p|div)[\s>]"), "no_html").otherwise("valid")
-    return t.raw("pages").select("page_id", verdict.alias("verdict"))
+    """A page has at least 200 bytes, says nothing that error pages say in its first 2,000 characters, and has a tag; some pages are damaged first."""
+    h = F.coalesce(F.expr(_BROKEN), F.lit(""))
+    head = F.substring(F.trim(F.regexp_replace("h", r"\s+", " ")), 1, 2000)
+    verdict = F.when(F.octet_length("h") < 200, "short").when(head.rlike(f"(?i){_ERRORS}"), "error_page").when(~F.col("h").rlike(f"(?i){_TAGS}"), "no_html").otherwise("valid")
+    return t.raw("pages").select("page_id", h.alias("h")).select("page_id", verdict.alias("verdict"))
 
 
 @query("page_text")
@@ -267,12 +230,16 @@ def dates_normalised(t: Tables) -> DataFrame:
 
 @query(
     "near_dup_pairs",
-    """WITH d AS (SELECT doc_id, text, sha256(left(text, 240)) AS a, sha256(right(text, 240)) AS b FROM documents WHERE length(text) >= 80), g AS (SELECT a, b, min(doc_id) AS first FROM d GROUP BY a, b)
-  SELECT d.doc_id, g.first FROM d JOIN g USING (a, b) WHERE d.doc_id <> g.first""",
+    """WITH d AS (SELECT doc_id, CASE WHEN length(text) < 80 THEN 's' || sha256(text) ELSE sha256(left(text, 240)) || sha256(right(text, 240)) END AS k FROM documents WHERE text IS NOT NULL), g AS (SELECT k, min(doc_id) AS first FROM d GROUP BY k)
+  SELECT d.doc_id, g.first FROM d JOIN g USING (k) WHERE d.doc_id <> g.first""",
 )
 def near_dup_pairs(t: Tables) -> DataFrame:
-    """Texts with equal first and last 240 characters, to the first of them; a pair a copy, never all pairs."""
-    key = F.sha2(F.concat_ws("|", F.sha2(F.left("text", F.lit(240)), 256), F.sha2(F.right("text", F.lit(240)), 256)), 256)
-    d = t.raw("documents").filter("length(text) >= 80").select("doc_id", key.alias("key"))
+    """Texts with equal first and last 240 characters, below 80 characters equal texts, to the first of them; a pair a copy, never all pairs.
+
+    That a text contains another is looked at within a group of evidence only, by composed_evidence.
+    """
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    key = F.when(F.length("text") < 80, F.concat(F.lit("s"), sha(F.col("text")))).otherwise(F.concat(sha(F.left("text", F.lit(240))), sha(F.right("text", F.lit(240)))))
+    d = t.raw("documents").filter("text is not null").select("doc_id", key.alias("key"))
     first = d.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     return d.join(first, "key").filter("doc_id <> first").select("doc_id", "first")

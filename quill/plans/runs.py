@@ -132,6 +132,100 @@ def clean_runs(t: Tables) -> DataFrame:
     return t.runs().agg(F.count_if(~broken).alias("clean"), F.count("*").alias("runs"))
 
 
+_AUDITED = """
+  n AS (SELECT run // 3600 AS h, * FROM runs),
+  r AS (SELECT h, n AS seen, CASE WHEN h % 37 = 5 THEN NULL WHEN h % 29 = 3 THEN (h - 1) * 3600 + (h - 1) % 7 * 500 ELSE h * 3600 + h % 7 * 500 END AS crawled_at,
+    CASE WHEN h % 41 = 1 THEN 'automatic' ELSE 'hourly_collection_manual_analysis' END AS mode, h % 43 = 2 AS automatic, CASE WHEN h % 47 = 3 THEN 2 ELSE 0 END AS selected, CASE WHEN h % 53 = 4 THEN 1 ELSE 0 END AS queued,
+    CASE WHEN h % 31 = 6 THEN 'failed' WHEN h % 13 = 7 THEN 'degraded' ELSE 'ok' END AS status, h % 59 <> 8 AS whitelisted, candidates, CASE WHEN h % 11 = 4 THEN 0 ELSE with_text END AS with_text,
+    CASE WHEN h % 17 = 9 THEN 0 ELSE CASE WHEN h % 11 = 4 THEN 0 ELSE with_text END END AS ingested, CASE WHEN h % 19 = 0 THEN 3 ELSE 0 END AS overflow FROM n)"""
+#: Codes of one run: whether the run's collection is wrong by itself (error) or worth a look (warning), and when.
+AUDIT = {
+    "invalid_crawled_at": ("error", "crawled_at IS NULL"),
+    "wrong_operating_mode": ("error", "crawled_at IS NOT NULL AND mode <> 'hourly_collection_manual_analysis'"),
+    "automatic_analysis_selection_enabled": ("error", "crawled_at IS NOT NULL AND automatic"),
+    "automatic_analysis_selection_detected": ("error", "crawled_at IS NOT NULL AND (selected <> 0 OR queued <> 0)"),
+    "collection_run_failed": ("error", "crawled_at IS NOT NULL AND status = 'failed'"),
+    "collection_run_degraded": ("warning", "crawled_at IS NOT NULL AND status = 'degraded'"),
+    "source_whitelist_mismatch": ("error", "crawled_at IS NOT NULL AND NOT whitelisted"),
+    "candidates_without_usable_full_text": ("error", "crawled_at IS NOT NULL AND candidates > 0 AND with_text = 0"),
+    "ingest_selection_starvation": ("error", "crawled_at IS NOT NULL AND ingested <> with_text"),
+    "manual_inbox_pressure": ("warning", "crawled_at IS NOT NULL AND overflow > 0"),
+}
+#: Warnings that keep a run of collections from being clean; runs that are expected; minutes between runs, and too many of them.
+CLEAN = ("collection_run_degraded", "hourly_schedule_gap", "source_consecutive_failures", "manual_inbox_pressure", "run_count_below_target")
+EXPECTED, EVERY, GAP = 100_000, 60, 120
+
+
+def audited(t: Tables) -> DataFrame:
+    """Runs with what an audit asks of them; some are made wrong by their hour."""
+    r = t.runs().selectExpr("run div 3600 as h", "n as seen", "candidates", "with_text as texts")
+    return r.selectExpr(
+        "h", "seen", "case when h % 37 = 5 then null when h % 29 = 3 then (h - 1) * 3600 + (h - 1) % 7 * 500 else h * 3600 + h % 7 * 500 end as crawled_at",
+        "if(h % 41 = 1, 'automatic', 'hourly_collection_manual_analysis') as mode", "h % 43 = 2 as automatic", "if(h % 47 = 3, 2, 0) as selected", "if(h % 53 = 4, 1, 0) as queued",
+        "case when h % 31 = 6 then 'failed' when h % 13 = 7 then 'degraded' else 'ok' end as status", "h % 59 <> 8 as whitelisted", "candidates", "if(h % 11 = 4, 0, texts) as with_text",
+        "if(h % 17 = 9 or h % 11 = 4, 0, texts) as ingested", "if(h % 19 = 0, 3, 0) as overflow",
+    )
+
+
+_AUDIT_SQL = (
+    with_sql("runs", "health")
+    + f""", {_AUDITED}, g AS (SELECT h, crawled_at, crawled_at - lag(crawled_at) OVER (ORDER BY crawled_at, h) AS gap FROM r WHERE crawled_at IS NOT NULL),
+  d AS (SELECT crawled_at, min(h) AS first FROM r WHERE crawled_at IS NOT NULL GROUP BY crawled_at),
+  i AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 3600 AS h, user_id FROM events GROUP BY ALL HAVING count(*) > 1),
+  k AS (SELECT source, run, status, row_number() OVER (PARTITION BY source ORDER BY run) - row_number() OVER (PARTITION BY source, status = 'ok' ORDER BY run) AS isle FROM health),
+  z AS (SELECT source, max(m) AS most FROM (SELECT source, isle, count(*) AS m FROM k WHERE status <> 'ok' GROUP BY ALL) GROUP BY source),
+  hs AS (SELECT DISTINCT run FROM health), found AS (
+  {' UNION ALL '.join(f"SELECT h, '{code}' AS code, '{level}' AS level FROM r WHERE {sql}" for code, (level, sql) in AUDIT.items())}
+  UNION ALL SELECT r.h, 'duplicate_run_timestamp', 'error' FROM r JOIN d USING (crawled_at) WHERE r.h <> d.first
+  UNION ALL SELECT h, 'hourly_schedule_gap', 'warning' FROM g WHERE gap > {GAP * 60}
+  UNION ALL SELECT h, 'runs_too_close', 'warning' FROM g WHERE gap < greatest(1, {EVERY} * 0.25) * 60
+  UNION ALL SELECT h, 'duplicate_candidate_within_run', 'error' FROM i
+  UNION ALL SELECT hs.run // 3600, 'missing_source_health', 'error' FROM hs, (SELECT unnest(range(5)) AS source) s LEFT JOIN health x ON x.run = hs.run AND x.source = s.source WHERE x.run IS NULL
+  UNION ALL SELECT source, 'source_consecutive_failures', 'warning' FROM z WHERE most >= 2
+  UNION ALL SELECT NULL, 'run_count_below_target', 'warning' FROM (SELECT count(*) AS n FROM r) WHERE n < {EXPECTED}
+  UNION ALL SELECT NULL, 'no_hourly_collection_artifacts', 'error' FROM (SELECT count(*) AS n FROM r WHERE h < 0) WHERE n = 0)"""
+)
+
+
+@query("run_audit", _AUDIT_SQL + " SELECT code, level, count(*) AS n, min(h) AS first, max(h) AS last FROM found GROUP BY ALL")
+def run_audit(t: Tables) -> DataFrame:
+    """How often an audit of the collection runs finds each of its 18 codes, and the first and last hour (or source) it names.
+
+    The codes of one run are looked at in one pass. Times that come twice, candidates that a run has twice and sources that it
+    leaves out are summed up before they are joined; gaps are windowed in buckets of time. (That there are no runs at all is
+    asked of the empty set of runs before 1970.)
+    """
+    return found(t).groupBy("code", "level").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.max("h").alias("last"))
+
+
+def found(t: Tables) -> DataFrame:
+    r, health = audited(t), t.health()
+    alone = r.select("h", F.inline(F.array_compact(F.array(*(F.when(F.expr(sql), F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"))) for code, (level, sql) in AUDIT.items())))))
+    timed = r.filter("crawled_at is not null").select("h", "crawled_at")
+    twice = timed.join(timed.groupBy("crawled_at").agg(F.min("h").alias("first"), F.count("*").alias("m")).filter("m > 1"), "crawled_at").filter("h <> first")
+    between = gaps(timed, "crawled_at", then=["h"])
+    tag = lambda d, code, level, h="h": d.select(F.col(h).cast("long").alias("h"), F.lit(code).alias("code"), F.lit(level).alias("level"))
+    again = t.raw("events").groupBy(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("h"), "user_id").agg(F.count("*").alias("m")).filter("m > 1")
+    asked = health.groupBy("run").agg(F.collect_set("source").alias("own")).select((F.col("run") / 3600).cast("long").alias("h"), F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), "own")).alias("source"))
+    worst = streaks(health, ["source"], "run", F.col("status") != "ok").groupBy("source").agg(F.max("length").alias("most")).filter("most >= 2")
+    few = r.agg(F.count("*").alias("m")).filter(F.col("m") < EXPECTED).withColumn("h", F.lit(None))
+    none = r.filter("h < 0").agg(F.count("*").alias("m")).filter("m = 0").withColumn("h", F.lit(None))
+    parts = [
+        tag(twice, "duplicate_run_timestamp", "error"), tag(between.filter(F.col("gap") > GAP * 60), "hourly_schedule_gap", "warning"),
+        tag(between.filter(F.col("gap") < max(1, EVERY * 0.25) * 60), "runs_too_close", "warning"), tag(again, "duplicate_candidate_within_run", "error"),
+        tag(asked, "missing_source_health", "error"), tag(worst, "source_consecutive_failures", "warning", "source"),
+        tag(few, "run_count_below_target", "warning"), tag(none, "no_hourly_collection_artifacts", "error"),
+    ]
+    return reduce(DataFrame.unionByName, parts, alone)
+
+
+@query("audit_verdict", _AUDIT_SQL + f" SELECT count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings, count(*) FILTER (WHERE level = 'error') = 0 AS valid, count(*) FILTER (WHERE level = 'error' OR code IN {CLEAN}) = 0 AS clean FROM found")
+def audit_verdict(t: Tables) -> DataFrame:
+    """Whether the runs are valid, and clean: no error, and none of the warnings that count."""
+    error, counts = F.col("level") == "error", F.col("code").isin(*CLEAN)
+    return found(t).agg(F.count_if(error).alias("errors"), F.count_if(~error).alias("warnings"), (F.count_if(error) == 0).alias("valid"), (F.count_if(error | counts) == 0).alias("clean"))
+
+
 @query("status_totals", _HEALTH + " SELECT coalesce(source, -1) AS source, coalesce(status, 'all') AS status, count(*) AS n FROM health GROUP BY GROUPING SETS ((source, status), (source), (status), ())")
 def status_totals(t: Tables) -> DataFrame:
     """Counts by source and status with all sub-totals, in one pass."""
