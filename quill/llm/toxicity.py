@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None
     found = [{often[t] for t in terms(text) if t in often} for _, text, _ in texts]
     names = lexicon(found, y, TERMS)
     v = votes([text for _, text, _ in texts], found, families(found, lexicon(found, y, TERMS, SURE_GAIN), VOTERS))
-    target = LabelModel(v, float(y.mean()), y).posterior(v)
+    target = LabelModel(v, float(y.mean())).posterior(v)
     total = sum(sizes.values())
     weight = np.where(y == 1, sizes[1] / total / max(1, y.sum()), sizes.get(0, 0) / total / max(1, (1 - y).sum()))
     return Classifier.fit(found, target, weight, names)
