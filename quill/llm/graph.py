@@ -45,11 +45,12 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for each node of edges (a, b), both long.
 
-    Labels start at each node's smallest neighbour. Each round takes the smallest label among neighbours, then the label's
-    own label, so chains halve; rounds end when no label changes. Every round is a written table: nothing is recomputed if
-    an executor is lost. Neighbours' minima are summed up before the shuffle, and joins on a node with very many edges are
-    plain equi-joins between written tables, which adaptive execution splits. Repeated edges and loops are allowed, rows
-    with a null end are left out, no edges give no rows.
+    Labels start at each node's smallest neighbour. Each round moves all nodes of a label together, to the smallest label that
+    is next to any of them or to the label's own node. So sorted chains double their steps, and zigzag ones merge whole
+    stretches; rounds end when no label changes. Every round is a written table: nothing is recomputed if an executor is lost.
+    Minima are summed up before the shuffle, and joins on a node or label with very many rows are plain equi-joins between
+    written tables, which adaptive execution splits. Repeated edges and loops are allowed, rows with a null end are left out,
+    no edges give no rows.
     """
     spark = edges.sparkSession
     edges = edges.filter("a is not null and b is not null")
@@ -58,9 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels, at = common.materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low, low_at = common.materialise(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "labels")
-        up = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new, new_at = common.materialise(low.join(up, "root").select("node", "old", F.col("next").alias("root")), "labels")
+        low, low_at = common.materialise(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("near")), "labels")
+        moves = low.select("root", "near").unionByName(low.select(F.col("node").alias("root"), "near")).groupBy("root").agg(F.min("near").alias("next"))
+        new, new_at = common.materialise(low.join(moves, "root").select("node", F.col("root").alias("old"), F.col("next").alias("root")), "labels")
         common.discard(spark, at, low_at)
         labels, at = new.select("node", "root"), new_at
         if new.filter("old <> root").isEmpty():

@@ -133,6 +133,24 @@ def test_components_of_a_chain_and_a_star(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+def test_components_of_shuffled_chains_take_few_rounds(spark, monkeypatch):
+    """Chains whose nodes come in any order, or fall and rise, end in about as many rounds as their length has binary digits."""
+    n, written, write = 1000, [], graph.common.materialise
+    monkeypatch.setattr(graph.common, "materialise", lambda df, name: written.append(name) or write(df, name))
+    shuffled = random.Random(3).sample(range(n), n)
+    vee = [*range(n, 2 * n, 2), *range(2 * n - 1, n, -2)]
+    edges = spark.createDataFrame([(c[k], c[k + 1]) for c in (shuffled, vee) for k in range(n - 1)], "a long, b long")
+    got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+    assert got == {k: k // n * n for k in range(2 * n)}
+    assert written.count("labels") <= 1 + 2 * 14
+
+
+def test_set_links_are_stars():
+    """Sets that only a chain of pairs connects are one class, whose edges all leave its first set."""
+    sets = [np.arange(k, k + 50) for k in range(0, 120, 4)]
+    assert sorted(simhash.set_links([*sets, np.arange(900, 950)], 0.8)) == [(0, k) for k in range(1, 30)]
+
+
 def plain_mark(text, n=3):
     """128 bits, by voting on each term's hash and on a mix of it."""
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
