@@ -49,12 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
     is next to any of them or to the label's own node. So sorted chains double their steps, and zigzag ones merge whole
     stretches; rounds end when no label changes. Every round is a written table: nothing is recomputed if an executor is lost.
     Minima are summed up before the shuffle, and joins on a node or label with very many rows are plain equi-joins between
-    written tables, which adaptive execution splits. Repeated edges and loops are allowed, rows with a null end are left out,
-    no edges give no rows.
+    written tables, which adaptive execution splits. Repeated edges (which count once) and loops are allowed, rows with a null
+    end are left out, no edges give no rows.
     """
     spark = edges.sparkSession
     edges = edges.filter("a is not null and b is not null")
-    sides = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sides = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both, kept = common.materialise(sides, "edges")
     labels, at = common.materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels")
     while True:
