@@ -98,16 +98,20 @@ def identity_keys(url: Column, source_url: Column, number: Column, title: Column
 
 
 def normal_date(c: Column) -> Column:
-    """A day from epoch seconds or milliseconds, from year, month and day with any separators, or from ISO text; else null."""
+    """A day from epoch seconds (10 digits) or milliseconds (13), from year, month and day with any separators, or from ISO text; else null.
+
+    More digits stand for no time. Years may have more than four.
+    """
     text = clean(c)
     seconds = F.when(text.rlike("^\\d{10}$"), text.cast("long")).when(text.rlike("^\\d{13}$"), F.floor(text.cast("long") / 1000))
-    parts = [F.regexp_extract(text, "^(\\d{4})[-/.年](\\d{1,2})[-/.月](\\d{1,2})", k) for k in (1, 2, 3)]
+    parts = [F.regexp_extract(text, "^(\\d{4,})[-/.年](\\d{1,2})[-/.月](\\d{1,2})", k) for k in (1, 2, 3)]
     iso = F.when(parts[0] != "", F.concat(parts[0], F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[2], 2, "0")))
     return F.coalesce(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd"), iso)
 
 
 def shanghai_minute(ts: Column) -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, "Asia/Shanghai"), "yyyy-MM-dd HH:mm")
+    """The minute in Shanghai; Spark's sign before a year of more than four digits is left out."""
+    return F.ltrim(F.date_format(F.from_utc_timestamp(ts, "Asia/Shanghai"), "yyyy-MM-dd HH:mm"), F.lit("+"))
 
 
 def try_id(c: Column) -> Column:

@@ -5,15 +5,17 @@ import random
 import zipfile
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quill.functions import identity as I
 from quill.functions import labels as L
 from quill.operators import dedupe, joins, runs, textrules, triage, validation
-from quill.plans import params
+from quill.plans import params, registry
 from quill.sources import extract, files
 from quill.streaming import series
+from tests import oracle
 
 
 def one(spark, column):
@@ -63,6 +65,17 @@ def test_identity(spark):
     assert one(spark, I.dedupe_key(F.lit(None).cast("string"), F.lit("短"), F.lit("2025-01-01"), F.lit("https://a.b/c"))) == "url:https://a.b/c"
 
 
+def test_dates_of_large_keys(spark, tmp_path):
+    """Days whose epoch has eleven digits, or whose year has five, are those of the SQL too."""
+    keys = [None, -8103, -8102, -8101, 0, 1, 2, 3, *range(96062, 96070), *range(599996, 600000), *range(2913219, 2913225), *range(40000000, 40000004)]
+    spark.createDataFrame([(k,) for k in keys], "doc_id long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert oracle.compare(registry.QUERIES["dates_normalised"](spark, str(tmp_path)), con, registry.ORACLES["dates_normalised"]) is None
+    assert [one(spark, I.normal_date(F.lit(x))) for x in ("10000000000", "10000/1/5", "20231105123000")] == [None, "10000-01-05", None]
+
+
 def plain_greedy(rows):
     entries = []
     for r in rows:
