@@ -119,11 +119,12 @@ def halves(lanes: int) -> list[np.ndarray]:
 def ring(rows: np.ndarray, half: np.ndarray, radius: int) -> Ring | None:
     """A node that splits rows as evenly as their distances from the first one let it; None if no distances differ.
 
-    Distances are taken in one half of the bits, whose margin is smaller; where that leaves over nine tenths of the rows
-    together, as in a dense group, in all bits.
+    Distances are taken in one half of the bits, whose margin is smaller, for another tree takes them in the other half; where
+    that leaves over nine tenths of the rows together, as in a dense group, in all bits. A tree that stands alone has the
+    mask of all bits and the whole radius as its margin.
     """
-    best = None
-    for mask, margin in ((half, radius // 2), (~np.zeros_like(half), radius)):
+    best, whole = None, ~np.zeros_like(half)
+    for mask, margin in ((whole, radius),) if (half == whole).all() else ((half, radius // 2), (whole, radius)):
         d = np.bitwise_count((rows ^ rows[0]) & mask).sum(axis=-1, dtype=np.int64)
         seen = np.cumsum(np.bincount(d))
         if len(seen) < 2:

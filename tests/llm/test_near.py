@@ -76,6 +76,32 @@ def test_large_shard_is_dealt_out(spark, monkeypatch):
     assert {k: v for k, v in got.items()} == {ints[k]: ints[w] for k, w in enumerate(want) if want.count(w) > 1}
 
 
+def test_every_pair_of_a_large_front_is_linked(spark):
+    """More fingerprints with one front than are compared bit by bit, and pairs that only this front's table can find."""
+    rng = np.random.default_rng(12)
+    base = np.unpackbits(rng.integers(0, 256, (600, 16), dtype=np.uint8), axis=1, bitorder="little")
+    base[:, :32] = 0
+    pair = base.copy()
+    for block in (1, 2, 3):
+        pair[np.arange(600), 32 * block + rng.integers(0, 32, 600)] ^= 1
+    fps = np.packbits(np.concatenate([base, pair]), axis=1, bitorder="little").view("<u8")
+    found = {tuple(sorted((int(i), int(j)))) for a, b in simhash.shard_links(fps, fps[:0], ~np.zeros(2, dtype=np.uint64), 3) for i, j in zip(a, b, strict=True)}
+    assert found == {(k, 600 + k) for k in range(600)}
+    nodes = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(fps)], "node long, fp binary").repartition(3)
+    got = {r["node"]: r["root"] for r in graph.components(simhash.within(nodes, 3)).collect()}
+    assert got == {k: k % 600 for k in range(1200)}
+
+
+def test_every_pair_of_a_wide_radius_is_linked():
+    """The pipeline's radius: a dense group and unlike texts in one front, against comparing all."""
+    rng = np.random.default_rng(13)
+    bits = np.concatenate([np.arange(512) < np.arange(300)[:, None], rng.integers(0, 2, (150, 512))]).astype(np.uint8)
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    want = {(i, j) for i, j in zip(*np.nonzero(simhash.hamming(fps[:, None], fps[None]) <= 102), strict=True) if i > j}
+    found = {(max(i, j), min(i, j)) for a, b in simhash.shard_links(fps, fps[:0], ~np.zeros(8, dtype=np.uint64), 102) for i, j in zip(a, b, strict=True)}
+    assert found == want and len(want) > 10_000
+
+
 def crowd(n, seed=4):
     """Fingerprints in clusters of all densities: spread ones, close pairs, and one dense group."""
     rng = np.random.default_rng(seed)
